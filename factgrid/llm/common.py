@@ -96,16 +96,16 @@ def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: C
     source = df.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"`{column}`").alias("__text"))
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
+    arrow, width, all_names = to_arrow_schema(schema), len(kept.columns), schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
             for part in pieces(batch, "__text"):
                 new = function(part.column("__text").to_pylist())
-                old = [part.column(i) for i in range(len(kept.columns))]
-                cols = [x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(len(old) + i).type) for i, x in enumerate(new)]
-                yield pa.RecordBatch.from_arrays([*old, *cols], names=[*[f.name for f in schema.fields]])
+                old = [part.column(i) for i in range(width)]
+                cols = [x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(width + i).type) for i, x in enumerate(new)]
+                yield pa.RecordBatch.from_arrays([*old, *cols], names=all_names)
 
     return source.mapInArrow(run, schema)
 
