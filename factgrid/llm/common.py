@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text handed to one call of a Python function at a time, so that memory doesn't follow Arrow's batch size.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
 
 #: `[^\x20\x09-\x0D]+`: what lies between these six ASCII characters is a word. bytes.split() splits at just these.
 WORD_GAP = "\\x20\\x09-\\x0D"
@@ -107,11 +109,19 @@ def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: C
                 cols = [x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(width + i).type) for i, x in enumerate(new)]
                 yield pa.RecordBatch.from_arrays([*old, *cols], names=all_names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with batches of about BATCH_BYTES: the session's own limit counts rows only, whatever their length."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key)) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def field(name: str, kind: str, nullable: bool = True) -> T.StructField:
-    return T.StructField(name, T._parse_datatype_string(kind), nullable)
+    return T.StructField(name, T.DataType.fromDDL(kind), nullable)
 
 
 def binary_array(flat: bytes | memoryview, offsets: np.ndarray) -> pa.Array:

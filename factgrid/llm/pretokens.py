@@ -124,7 +124,7 @@ class PieceStore:
     by hash and then compared byte by byte with what is stored.
     """
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], bound: int = 800_000):
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], bound: int = 400_000):
         self.encode_new, self.bound = encode, bound
         self.power = np.ones(1, dtype=np.uint64)
         self.inverse = np.ones(1, dtype=np.uint64)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .bpe import MAX_VOCABULARY_BYTES
-from .common import binary_array, pieces, plain_text, ranges
+from .common import binary_array, map_arrow, pieces, plain_text, ranges
 from .pretokens import PieceStore, TextEncoder
 
 MASK = 0xA282EAD8
@@ -188,7 +188,7 @@ def write_documents(docs: DataFrame, path: str, tokenizer_path: str, text: str =
                 yield pa.RecordBatch.from_arrays([binary_array(out, bounds)], names=["value"])
 
     ordered = rows.repartitionByRange(files, F.col("key").asc_nulls_first(), F.crc32("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.crc32("text"), "text")
-    ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
+    map_arrow(ordered, run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
     return files
 
 
@@ -243,7 +243,7 @@ def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataF
                         names=["file", "ordinal", "doc_id", "offset", "length"] + ["ids"] * with_ids,
                     )
 
-    return files.mapInArrow(run, RECORD if with_ids else RECORD.removesuffix(", ids binary"))
+    return map_arrow(files, run, RECORD if with_ids else RECORD.removesuffix(", ids binary"))
 
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> None:
