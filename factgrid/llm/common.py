@@ -113,10 +113,10 @@ def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: C
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with batches of about BATCH_BYTES: the session's own limit counts rows only, whatever their length."""
+    """mapInArrow with batches of about BATCH_BYTES, if the session still has the larger default."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(key)) > BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
+    if conf.get(key) == "67108864b":
+        conf.set(key, f"{BATCH_BYTES}b")
     return df.mapInArrow(run, schema)
 
 
