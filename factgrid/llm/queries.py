@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, records
+from . import bpe, quality, records, secrets
 from .common import fresh_path, table
 
 
@@ -18,6 +18,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = quality.judge(docs, quality.fit_references(docs))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "records")
     records.write_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -25,5 +31,10 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.placed(records.read_records(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op6_token_records)}
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digests(secrets.find_secrets(docs))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_quality_rules, op6_token_records, op8_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
