@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, records, secrets
+from . import bpe, language, quality, records, secrets, sharding, urls
 from .common import fresh_path, table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded")
@@ -36,5 +41,19 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_quality_rules, op6_token_records, op8_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are the labels whose doc_id is the page's id: good if of quality 1 and not toxic."""
+    good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).when(F.col("quality").isNotNull(), 0)
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
+    judged = urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, urls.RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "n_outcomes", "n_good")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
+    profiles = language.learn_profiles(docs.where(~F.col("held_out")))
+    return language.identify(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op4_quality_rules, op6_token_records, op8_secret_scan, op9_url_filter, op10_language_id)}
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": urls.ORACLE}
