@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, records, secrets, sharding, urls
+from . import bpe, decontaminate, jaccard, language, licenses, quality, records, secrets, sharding, urls
 from .common import fresh_path, table
 
 
@@ -23,12 +23,20 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = quality.judge(docs, quality.fit_references(docs))
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "records")
     records.write_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -36,6 +44,10 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.placed(records.read_records(spark, path))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digests(secrets.find_secrets(docs))
@@ -55,5 +67,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op4_quality_rules, op6_token_records, op8_secret_scan, op9_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_license_scan, op4_quality_rules, op5_decontamination, op6_token_records, op7_jaccard_join, op8_secret_scan, op9_url_filter, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {"op9_url_filter": urls.ORACLE}
