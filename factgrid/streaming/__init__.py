@@ -1,0 +1 @@
+"""Empty on purpose: the capabilities that this library rebuilds have no streams, and none are invented."""
