@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 def longest_prefix(rows: DataFrame, path: str, prefixes: DataFrame, prefix: str) -> DataFrame:
     """rows with the columns of the longest prefix (by whole segments) of the path, null where none fits.
 
-    Every row is expanded into its own prefixes, as many as it has segments, and joined by equality: no comparison of all
-    rows with all prefixes, whatever the number of either. rows must not have columns __row, __prefix and __depth.
+    Every distinct path is expanded into its own prefixes, as many as it has segments, and joined by equality: no comparison of
+    all rows with all prefixes, whatever the number of either. rows must not have columns __prefix and __best.
     """
     parts = F.split(F.col(path), "/")
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
-    each = keyed.select("__row", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("__prefix"))
+    own = rows.select(path).where(F.col(path).isNotNull()).distinct()
+    each = own.select(path, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("__prefix"))
     found = each.join(prefixes.withColumnRenamed(prefix, "__prefix"), "__prefix")
-    best = found.groupBy("__row").agg(F.max_by(F.struct(F.col("__prefix").alias(prefix), *[c for c in prefixes.columns if c != prefix]), F.length("__prefix")).alias("__best"))
-    return keyed.join(best, "__row", "left").select(*rows.columns, "__best.*")
+    best = found.groupBy(path).agg(F.max_by(F.struct(F.col("__prefix").alias(prefix), *[c for c in prefixes.columns if c != prefix]), F.length("__prefix")).alias("__best"))
+    return rows.join(best, path, "left").select(*rows.columns, "__best.*")
 
 
 def contained(inner: DataFrame, outer: DataFrame, key: str | list[str], start: str = "start", end: str = "end", outer_start: str = "outer_start", outer_end: str = "outer_end") -> DataFrame:
