@@ -179,7 +179,8 @@ class TemplateIndex:
         i, size = 0, len(template)
         while i < len(hits):
             inside = hits[(hits >= hits[i]) & (hits < hits[i] + 2 * size)]
-            share = len(np.unique(region[inside])) / size
+            _, first = np.unique(region[inside], return_index=True)
+            inside, share = inside[: first.max() + 1], len(first) / size  # up to where the last new shingle comes
             if share >= LEAST_CONTAINMENT:
                 yield offset + int(inside[0]), offset + int(inside[-1]), share
                 i = int(np.searchsorted(hits, inside[-1], side="right"))
