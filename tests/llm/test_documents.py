@@ -114,7 +114,7 @@ def test_js_distance():
 def test_licenses(spark):
     clean = "thor eated onin the of and erst " * 30
     notice = licenses.TEMPLATES["MIT"][2]
-    texts = [None, "", clean, "Released under the MIT License.", f"{clean}\nLicensed under the Apache License, Version 2.0.\n{clean}", clean + notice.upper().replace(",", " ,") + clean, "licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.\n" * 2]
+    texts = [None, "", clean, "Released under the MIT License.", f"{clean}\nLicensed under the Apache License, Version 2.0.\n{clean}", clean + notice.upper().replace(",", " ,") + " " + clean, "licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.\n" * 2]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x")], "doc_id long, text string, license string")
     got = licenses.find_licenses(docs).collect()
     assert Counter((r.doc_id, r.license) for r in got) == Counter([(3, "MIT")] * 2 + [(4, "Apache-2.0"), (5, "MIT"), (6, "GPL-3.0")] + [(7, "CC-BY-NC-4.0")] * 2)
