@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder that spark.checkpoint.dir names, or a local one in local mode."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -25,7 +25,7 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels (node, tag, label) that took the least label of any node from which they are reached, to a fixpoint."""
     while True:
         moved = labels.join(edges, [labels["node"] == edges["a"], labels["tag"] == edges["tag_a"]]).where("tag_a = tag_b").select(F.col("b").alias("node"), F.col("tag_b").alias("tag"), "label")
-        new = _cut(labels.unionByName(moved).groupBy("node", "tag").agg(F.min("label").alias("label")))
+        new = cut(labels.unionByName(moved).groupBy("node", "tag").agg(F.min("label").alias("label")))
         if new.join(labels, ["node", "tag", "label"], "left_anti").isEmpty():
             return new
         labels = new
@@ -38,16 +38,16 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     nodes of one component never part, and parts that no longer split are components. Only labels move, one a node; no
     reachability pairs are kept. A node without a cycle is its own component; self edges have no effect.
     """
-    edges = _cut(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
-    nodes = _cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("tag", F.lit("")))
+    edges = cut(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
+    nodes = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("tag", F.lit("")))
     parts = -1
     while True:
-        tagged = _cut(edges.join(nodes.select(F.col("node").alias("a"), F.col("tag").alias("tag_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("tag").alias("tag_b")), "b"))
+        tagged = cut(edges.join(nodes.select(F.col("node").alias("a"), F.col("tag").alias("tag_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("tag").alias("tag_b")), "b"))
         back = tagged.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("tag_b").alias("tag_a"), F.col("tag_a").alias("tag_b"))
         start = nodes.withColumn("label", F.col("node"))
         forward = _spread(start, tagged).withColumnRenamed("label", "low")
         reverse = _spread(start, back).withColumnRenamed("label", "reach")
-        nodes = _cut(forward.join(reverse, ["node", "tag"]).select("node", F.sha2(F.concat_ws("\u0000", "tag", F.col("low").cast("string"), F.col("reach").cast("string")).cast("binary"), 256).alias("tag")))
+        nodes = cut(forward.join(reverse, ["node", "tag"]).select("node", F.sha2(F.concat_ws("\u0000", "tag", F.col("low").cast("string"), F.col("reach").cast("string")).cast("binary"), 256).alias("tag")))
         now = nodes.select("tag").distinct().count()
         if now == parts:
             break
@@ -69,8 +69,8 @@ def bounded_reach(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     front = found
     for d in range(1, most + 1):
         step = front.join(edges.select(F.col("a").alias("node"), "b"), "node").select("start", F.col("b").alias("node")).distinct()
-        front = _cut(step.join(found, ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        front = cut(step.join(found, ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
-        found = _cut(found.unionByName(front))
+        found = cut(found.unionByName(front))
     return found

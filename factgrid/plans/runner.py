@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut
 from .structural import CHECKS, FINDING, Facts
 
 RUN = f"check string, tree string, check_order int, tree_order int, crashed boolean, {FINDING}"
@@ -14,19 +16,21 @@ RUN = f"check string, tree string, check_order int, tree_order int, crashed bool
 
 def run_checks(trees: dict[str, Facts], checks: dict[str, Callable[[Facts], DataFrame]] | None = None) -> DataFrame:
     """Findings of all checks on all trees in their order: RUN. A check that raises is a row with crashed true and the reason, so
-    a crash never looks like a clean tree. Each check's findings, as few as its problems, come to the driver for this."""
+    a crash never looks like a clean tree. Each check's findings are checkpointed, not collected."""
     chosen = CHECKS if checks is None else checks
     if not trees or not chosen:
         raise ValueError("no trees or no checks")
     spark = next(iter(trees.values())).sources.sparkSession
-    rows = []
+    parts = []
     for i, (name, check) in enumerate(chosen.items()):
         for j, (root, facts) in enumerate(trees.items()):
+            tag = [F.lit(name).alias("check"), F.lit(root).alias("tree"), F.lit(i).alias("check_order"), F.lit(j).alias("tree_order"), F.lit(False).alias("crashed")]
             try:
-                rows += [(name, root, i, j, False, *r) for r in check(facts).select("severity", "file", "line", "message").collect()]
+                parts.append(cut(check(facts).select(*tag, "severity", "file", "line", "message")))
             except Exception as e:  # noqa: BLE001  a broken check must not hide the others
-                rows.append((name, root, i, j, True, "error", None, None, str(e).splitlines()[0] if str(e) else type(e).__name__))
-    return spark.createDataFrame(rows, RUN)
+                said = str(e).splitlines()[0] if str(e) else type(e).__name__
+                parts.append(spark.createDataFrame([(name, root, i, j, True, "error", None, None, said)], RUN))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def staged(findings: DataFrame, files: DataFrame | None) -> DataFrame:
