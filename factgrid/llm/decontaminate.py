@@ -1,7 +1,7 @@
 """Benchmark decontamination by the q-gram lemma, overlapping diagonal bands and banded alignment.
 
 Texts are compared in a plain form: lower case, letters and digits, one space for anything between. Every benchmark item is
-cut into overlapping windows. A document leaks a window if one of its substrings is within the window's edit budget. By the
+cut into overlapping windows, so many that each stretch of Budget.least_leak characters holds a whole one. A document leaks a window if one of its substrings is within the window's edit budget. By the
 q-gram lemma such a substring shares at least len - q + 1 - q * budget q-grams with the window, and all of them lie on
 diagonals (place in the document minus place in the window) that differ by at most the budget. So hits are counted in bands
 of diagonals that overlap by the budget, and the bands that reach the bound are aligned.
@@ -25,15 +25,29 @@ from .pretokens import BASE, INVERSE, LETTER, NUMBER, HashIndex, character_class
 
 @dataclass(frozen=True)
 class Budget:
-    """Parameters. A window is the whole item where that is shorter; items with fewer than q characters can't leak."""
+    """Parameters. A window is the whole item where that is shorter; items with fewer than q characters can't leak.
+
+    Items of up to two windows are searched for whole, too, as they may have more edits than a window. Of two adjacent
+    windows one has at most half of their edits, so a leak of both within the rate shows in one of them.
+    """
 
     q: int = 12
-    window: int = 120
-    stride: int = 60
+    window: int = 60
+    stride: int = 15
     edit_rate: float = 0.05
     band: int = 16
     block_chars: int = 8 << 20  # of benchmark text that is searched for in one pass over the documents
 
+    @property
+    def least_leak(self) -> int:
+        """Plain characters of an item from which an excerpt with at most a window's edits is always found."""
+        return self.window + self.stride - 1
+
+    def starts(self, length: int) -> list[int]:
+        """Places of the windows in an item; the last two are adjacent."""
+        last = max(0, length - self.window)
+        return sorted({*range(0, last + 1, self.stride), last, max(0, last - self.window)})
+
     def edits(self, length: int) -> int:
         return int(length * self.edit_rate)
 
@@ -97,9 +111,11 @@ class WindowIndex:
             whole = cp[bounds[k] : bounds[k + 1]]
             if len(whole) and whole[-1] == 0x20:
                 whole = whole[:-1]
-            starts = [*range(0, max(1, len(whole) - budget.window), budget.stride), max(0, len(whole) - budget.window)]
-            for a in sorted(set(starts)):
-                if len(part := whole[a : a + budget.window]) >= budget.q:
+            parts = [(a, whole[a : a + budget.window]) for a in budget.starts(len(whole))]
+            if budget.window < len(whole) <= 2 * budget.window:
+                parts.append((0, whole))
+            for a, part in parts:
+                if len(part) >= budget.q:
                     self.item.append(k)
                     self.text.append(part)
                     self.offset.append(a)
@@ -115,14 +131,16 @@ class WindowIndex:
         self.length = np.array([len(t) for t in self.text], dtype=np.int64)
         self.least = np.array([budget.least(n) for n in self.length], dtype=np.int64)
         self.edits = np.array([budget.edits(n) for n in self.length], dtype=np.int64)
-        self.matrix = np.zeros((len(self.text), budget.window), dtype=np.uint32)
+        self.reach = int(self.length.max(initial=0))
+        self.matrix = np.zeros((len(self.text), self.reach), dtype=np.uint32)
         for row, t in zip(self.matrix, self.text, strict=True):
             row[: len(t)] = t
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, place of the window in the item, start and end in the text, edits) of each window that a text leaks.
 
-        Of the alignments of a window in a text the one with the fewest edits is given, of equal ones the first.
+        Of the alignments of a window in a text the one with the fewest edits is given, of equal ones the first. Where a whole
+        item leaks, it stands for its first window.
         """
         cp, bounds, original = plain(texts)
         if not len(self.text) or len(cp) < self.budget.q:
@@ -137,11 +155,11 @@ class WindowIndex:
         n = self.count[gram]
         spot = ranges(self.first[gram], n)
         at, row, window, place = np.repeat(at, n), np.repeat(row, n), self.window[spot], self.place[spot]
-        diagonal = at - bounds[row] - place + self.budget.window  # not negative
+        diagonal = at - bounds[row] - place + self.reach  # not negative
         band = diagonal // self.budget.band
         also = np.flatnonzero((diagonal % self.budget.band < self.edits[window]) & (band > 0))
         row, window, band = (np.concatenate([x, y[also]]) for x, y in ((row, row), (window, window), (band, band - 1)))
-        bands = int(np.diff(bounds).max() + 2 * self.budget.window) // self.budget.band + 2
+        bands = int(np.diff(bounds).max() + 2 * self.reach) // self.budget.band + 2
         key = (row * len(self.text) + window) * bands + band
         key, shared = np.unique(key, return_counts=True)
         window = key // bands % len(self.text)
@@ -149,7 +167,7 @@ class WindowIndex:
         key, window = key[enough], window[enough]
         if not len(key):
             return []
-        row, low = key // bands // len(self.text), key % bands * self.budget.band - self.budget.window
+        row, low = key // bands // len(self.text), key % bands * self.budget.band - self.reach
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for i in range(0, len(key), 4096):
             part = slice(i, i + 4096)
@@ -157,11 +175,10 @@ class WindowIndex:
             for r, w, d, a, b in zip(row[part].tolist(), window[part].tolist(), edits.tolist(), start.tolist(), end.tolist(), strict=True):
                 if d <= self.edits[w]:
                     best[r, w] = min(best.get((r, w), (d, a, b)), (d, a, b))
-        out = []
-        for (r, w), (d, a, b) in sorted(best.items()):
-            a, b = int(original[bounds[r] + a]), int(original[bounds[r] + b - 1]) + 1
-            out.append((r, self.item[w], self.offset[w], a, b, d))
-        return out
+        out: dict[tuple[int, int, int], tuple[int, int, int]] = {}
+        for (r, w), (d, a, b) in sorted(best.items()):  # a whole item comes after its windows
+            out[r, self.item[w], self.offset[w]] = int(original[bounds[r] + a]), int(original[bounds[r] + b - 1]) + 1, d
+        return [k + v for k, v in out.items()]
 
     def align(self, cp: np.ndarray, bounds: np.ndarray, row: np.ndarray, window: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Edits, start and end (in the plain text) of each window's best substring on the band of diagonals from `low`.
@@ -203,6 +220,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """A row for each document and benchmark window that it leaks: the key and item (named as in the tables), item_start (the
     window's place in the plain item), start and end in the document's text (code points, end exclusive), and edits.
 
+    An excerpt of budget.least_leak plain characters of an item is always found if it has no more edits than a window may.
     Null or empty texts and items shorter than q plain characters leak nothing; repeated rows each have their own results.
     The benchmark is read to the driver in blocks of at most block_chars characters (or one item, if that is longer); each
     block is a pass over all documents. Other columns are not read. An empty table gives an empty result.
