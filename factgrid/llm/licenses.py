@@ -4,7 +4,8 @@ Shingles are SHINGLE words in lower case without punctuation. A document's windo
 block apart, so any four-shingle stretch lies in three windows and any nine shingles lie whole in one. A template (or, if it
 is longer than a window, each of its windows at every place) is indexed under BANDS hash functions, one row a band: a window
 that holds a template of m shingles has a Jaccard similarity of m / WINDOW or more with it, and so misses it with
-probability (1 - m / WINDOW)^BANDS at most: below 1e-5 for the shortest templates (three shingles) with 40 bands.
+probability (1 - m / WINDOW)^BANDS at most: below 1e-5 for templates of three shingles with 40 bands. Shorter ones, which must be there whole, are also looked up by
+their first shingle at every place, so none is missed.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .decontaminate import plain
 from .pretokens import BASE, INVERSE, HashIndex
 
 SHINGLE, BLOCK, BLOCKS, BANDS = 3, 4, 3, 40
+LEAST_BANDED = 3  # shingles from which the bands find a template
 WINDOW = BLOCK * BLOCKS
 LEAST_CONTAINMENT = 0.9
 
@@ -51,7 +53,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
-    "Proprietary": ("All rights reserved. No part of this publication may be reproduced",),
+    "Proprietary": ("All rights reserved.", "All rights reserved. No part of this publication may be reproduced",),
 }
 
 
@@ -103,17 +105,23 @@ _FACTORS = mixed(np.arange(BANDS, dtype=np.uint64), 7) | np.uint64(1)
 class TemplateIndex:
     def __init__(self, templates: dict[str, tuple[str, ...]]):
         self.names, sets, keys, owners = [], [], [], []
+        short: dict[int, list[int]] = {}
         for name, texts in templates.items():
             for t in texts:
                 s = shingles(words([t]).hashes)
                 self.names.append(name)
                 sets.append(s)
+                if 0 < len(s) < LEAST_BANDED:
+                    short.setdefault(int(s[0]), []).append(len(self.names) - 1)
                 for a in range(max(1, len(s) - WINDOW + 1)):
                     with np.errstate(over="ignore"):
                         low = (s[a : a + WINDOW][:, None] * _FACTORS).min(axis=0)
                     keys.append(self.key(low, np.arange(BANDS)))
                     owners.append(np.full(BANDS, len(self.names) - 1))
         self.sets = sets
+        self.short = list(short.values())
+        self.opening = HashIndex(max(1, len(short)))
+        self.opening.add(np.array(list(short), dtype=np.uint64), np.arange(len(short), dtype=np.int32))
         self.length = np.array([len(s) for s in sets])
         key, owner = np.concatenate(keys), np.concatenate(owners)
         pairs = np.unique(np.stack([key.astype(np.uint64), owner.astype(np.uint64)], axis=1), axis=0)
@@ -155,6 +163,9 @@ class TemplateIndex:
             for i in np.flatnonzero(found >= 0).tolist():
                 a, n = self.first[found[i]], self.count[found[i]]
                 candidates.update((i, int(o)) for o in self.owner[a : a + n])
+        found = self.opening.find(flat)
+        for i in np.flatnonzero(found >= 0).tolist():
+            candidates.update((i // BLOCK, o) for o in self.short[found[i]])
         regions: dict[tuple[int, int], list[list[int]]] = {}
         for i, owner in sorted(candidates):
             for row in {int(np.searchsorted(before, i, side="right")) - 1, int(np.searchsorted(before, min(total - 1, i + BLOCKS - 1), side="right")) - 1}:

@@ -124,6 +124,20 @@ def test_licenses(spark):
     assert licenses.find_licenses(docs.limit(0)).collect() == []
 
 
+def test_planted_license_lines_are_all_found(spark):
+    lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "All rights reserved.": "Proprietary"}
+    rng, rows = random.Random(4), []
+    for k in range(300):
+        words = [f"w{rng.randrange(1000)}" for _ in range(rng.randrange(0, 40))]
+        line = list(lines)[k % 5]
+        rows.append((k, " ".join(words) + "\n" + line + ("\nand on" if k % 2 else ""), lines[line], line))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, want string, line string")
+    got = sorted((r.doc_id, r.license, rows[r.doc_id][1][r.start : r.end]) for r in licenses.find_licenses(docs).collect())
+    assert got == [(k, want, line[:-1]) for k, _, want, line in rows]
+    longer = licenses.TemplateIndex(licenses.TEMPLATES).search(["x all rights reserved, all rights are mine", "Rights reserved. All.", licenses.TEMPLATES["Proprietary"][1]])
+    assert [(f[0], f[1], f[2]) for f in longer] == [(0, "Proprietary", 2), (2, "Proprietary", 0)] and longer[1][3] == len(licenses.TEMPLATES["Proprietary"][1])
+
+
 def plain_edits(window, text):
     """Least edits between the window and any substring."""
     row = [0] * (len(text) + 1)
