@@ -98,7 +98,21 @@ def guess_cost(value: str) -> float:
     return min(best[n], open_run[n])
 
 
-def scan(text: str | None, least_cost: float) -> list[tuple[str, int, int, float | None]]:
+#: log10 of the guesses from which a value in a credential context is a secret: six random characters have more, as a rule.
+LEAST_COST = 7.5
+#: The same for values that read as words (prose, identifiers, paths, placeholders), which COMMON lists only in part.
+LEAST_WORDS = 14.0
+#: Words of two letters or more, in camel case or capitals, after what opens a placeholder, with what joins names and ends
+#: sentences. Possessive, so the time follows the length.
+WORD = r"(?:(?:[A-Z]?[a-z\x80-\U0010FFFF]{2,}+)++|[A-Z]{2,}+)"
+WORDS = re.compile(rf"[$%(\[{{]*+{WORD}(?:[-._/:()\[\]{{}}]++{WORD})*+[-._/:()\[\]{{}}]*+(?:(?<=\))[sd])?[!?%*]*+")
+
+
+def is_secret(value: str, cost: float, least_cost: float = LEAST_COST, least_words: float = LEAST_WORDS) -> bool:
+    return cost >= least_cost and (cost >= least_words or not WORDS.fullmatch(value))
+
+
+def scan(text: str | None, least_cost: float, least_words: float = LEAST_WORDS) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, log10 guesses) in order of start, then kind; offsets are code points, ends exclusive."""
     if not text:
         return []
@@ -106,7 +120,7 @@ def scan(text: str | None, least_cost: float) -> list[tuple[str, int, int, float
     if "=" in text or ":" in text:
         found += [(m.start(), 0, m.end(), None) for m in ASSIGN.finditer(text) if len(m[1]) >= LEAST_ASSIGN]
         for m in CONTEXT.finditer(text):
-            if (cost := guess_cost(m[1])) >= least_cost:
+            if is_secret(m[1], cost := guess_cost(m[1]), least_cost, least_words):
                 found.append((m.start(1), 3, m.end(1), cost))
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
@@ -115,20 +129,19 @@ def scan(text: str | None, least_cost: float) -> list[tuple[str, int, int, float
 
 
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("log10_guesses", pa.float64())]))
-#: log10 of the guesses from which a value in a credential context is a secret.
-LEAST_COST = 14.0
 
 
-def find_secrets(docs: DataFrame, text: str = "text", spans: str = "spans", least_cost: float = LEAST_COST) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", spans: str = "spans", least_cost: float = LEAST_COST, least_words: float = LEAST_WORDS) -> DataFrame:
     """docs with the column `spans`: array of (kind, start, end, log10_guesses), by start, then kind.
 
     kind assign, access and hex are the fixed patterns; guess is a value in a credential context whose cheapest segmentation
-    into common words, dates, repeats, keyboard walks and brute-force spans costs 10^least_cost guesses or more. A null or
-    empty text has no spans; texts are scanned whole. Rows are independent. Columns of the new one's name are replaced.
+    into common words, dates, repeats, keyboard walks and brute-force spans costs 10^least_cost guesses or more, or
+    10^least_words if it reads as words. A null or empty text has no spans; texts are scanned whole. Rows are independent.
+    Columns of the new one's name are replaced.
     """
 
     def run(texts: list) -> list:
-        each = [[{"kind": k, "start": a, "end": b, "log10_guesses": c} for k, a, b, c in scan(t, least_cost)] for t in texts]
+        each = [[{"kind": k, "start": a, "end": b, "log10_guesses": c} for k, a, b, c in scan(t, least_cost, least_words)] for t in texts]
         return [pa.array(each, type=SPAN)]
 
     return add_columns(docs, text, [field(spans, "array<struct<kind:string,start:int,end:int,log10_guesses:double>>", False)], lambda: run)
@@ -145,11 +158,11 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_cost: float = LEAST_COST) -> DataFrame:
+def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_cost: float = LEAST_COST, least_words: float = LEAST_WORDS) -> DataFrame:
     """docs with every span of a secret in the text replaced by the mark; spans that overlap are one. Null stays null."""
 
     def redacted(t: str | None) -> str | None:
-        spans = scan(t, least_cost)
+        spans = scan(t, least_cost, least_words)
         if not spans:
             return t
         out, at, i = [], 0, 0

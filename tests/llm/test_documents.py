@@ -272,6 +272,23 @@ def test_guess_costs():
     assert secrets.guess_cost("password") < 1 < secrets.guess_cost("xkqzvw") < secrets.guess_cost("xK9#qZ!vw2")
 
 
+def test_short_random_values_are_secrets():
+    rng, alphabet = random.Random(11), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&*+-./?@^_~"
+    values = ["x9!K#2vQ", "mV7$kQ2!xR", "aZ3kP9xQ2L"]
+    while len(values) < 600:
+        v = "".join(rng.choices(alphabet, k=rng.randrange(8, 11)))
+        if not v.isalnum() and any(map(str.isdigit, v)) and any(map(str.isupper, v)):
+            values.append(v)
+    for k, v in enumerate(values):
+        context = ("password: {}", "pwd={}", "login: {}", 'auth_key = "{}"')[k % 4]
+        text = "before " + context.format(v) + " after"
+        at = text.index(v)
+        assert any(a <= at and b >= at + len(v) and kind == "guess" for kind, a, b, _ in secrets.scan(text, secrets.LEAST_COST)), text
+    weak = ["password1!", "qwerty123", "Summer2024!", "P@ssw0rd2024", "letmein12", "admin@123", "changeme!", "12345678!", "aaaaaaaa1", "1q2w3e4r", "required", "required.", "anything!", "Nutzername", "überprüft", "${DB_NAME}", "your_token", "os.getenv", "%(login)s", "19990412!"]
+    for v in weak:
+        assert not secrets.scan(f"login: {v} after", secrets.LEAST_COST), (v, secrets.guess_cost(v))
+
+
 def test_url_filter_matches_sql(spark, sf):
     con = duckdb.connect()
     for t in ("pages", "labels"):
