@@ -34,6 +34,9 @@ class Limits:
     trampoline_layers: tuple[str, ...] = ("controllers", "service")
     server_packages: tuple[str, ...] = ("drizzle-orm", "postgres", "pg", "stripe", "better-auth")
     spacing_properties: tuple[str, ...] = ("margin", "padding", "gap", "p", "m", "px", "py", "mx", "my", "mt", "mb", "ml", "mr", "pt", "pb", "pl", "pr")
+    spacing_keys: tuple[str, ...] = ("padding", "paddingTop", "paddingRight", "paddingBottom", "paddingLeft", "paddingInline", "paddingBlock", "margin", "marginTop", "marginRight", "marginBottom", "marginLeft", "marginInline", "marginBlock", "gap", "rowGap", "columnGap")
+    radius_properties: tuple[str, ...] = ("radius",)
+    radius_keys: tuple[str, ...] = ("borderRadius", "borderTopLeftRadius", "borderTopRightRadius", "borderBottomLeftRadius", "borderBottomRightRadius")
 
     def __post_init__(self):
         if self.lines_warning >= self.lines_error or min(self.pairs, self.files_on_pair, self.targets, self.trace_depth) < 0:
@@ -50,7 +53,8 @@ class Facts:
     files: DataFrame | None = None  # (file, text) of everything else: stylesheets, documents, grants
     visibility: DataFrame | None = None  # (file, feature, body)
     budgets: DataFrame | None = None  # (path, ceiling string as written)
-    theme: DataFrame | None = None  # (name, value)
+    theme: DataFrame | None = None  # (name, value) of the spacing scale
+    radii: DataFrame | None = None  # (name, value) of the radius scale
 
     @cached_property
     def live(self) -> DataFrame:
@@ -265,10 +269,25 @@ def shadow_source(f: Facts) -> DataFrame:
 
 @check("style/token-equality")
 def token_equality(f: Facts) -> DataFrame:
-    scale = f.theme.select("name", text.pixels(F.col("value")).alias("px")).where("px > 0").groupBy("px").agg(F.min("name").alias("name"))
-    pattern = "\\b(?:" + "|".join(f.limits.spacing_properties) + ")\\s*(?:=\\s*\\{|:)\\s*[\"']?([0-9]+)(?:px)?[\"']?"
-    found = f.live.where(paths.is_component(F.col("file"))).select("file", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("n")).withColumn("px", F.col("n").try_cast("int"))
-    return finding(found.join(scale, "px"), said("{{p}} pixels are the token {{n}}", p="px", n="name"))
+    """Spacing and radius, each as a property ({16}, "16" or "16px") and as a key of a style object, that equal a token of their scale."""
+    v, limits = f.vocabulary, f.limits
+    pixels = F.coalesce(text.pixels(F.col("value")), F.round(F.regexp_extract("value", "^\\s*([0-9]*\\.?[0-9]+)\\s*$", 1).try_cast("double")).cast("int"))
+    scale = lambda t: t.select("name", pixels.alias("px")).where("px > 0").groupBy("px").agg(F.min("name").alias("name"))
+    styled = f.live.where(F.coalesce(paths.profile(F.col("source_path"), v) != "domain", F.lit(True)) & (paths.stem(F.col("source_path")) != f"{v.shared}/{v.shared_ui}/{v.theme_module}"))
+    # Comments go, but their line breaks stay.
+    comment = "/\\*[\\s\\S]*?\\*/|//[^\n]*"
+    parts = F.arrays_zip(F.split("text", comment).alias("kept"), F.regexp_extract_all("text", F.lit(comment), F.lit(0)).alias("gone"))
+    blank = F.array_join(F.transform(parts, lambda p: F.concat(p["kept"], F.coalesce(F.regexp_replace(p["gone"], "[^\n]", " "), F.lit("")))), "")
+    lines = styled.select("file", F.posexplode(F.split(blank, "\n")).alias("place", "body"))
+    out = None
+    for kind, table, properties, keys in (("spacing", f.theme, limits.spacing_properties, limits.spacing_keys), ("radius", f.radii, limits.radius_properties, limits.radius_keys)):
+        if table is None:
+            continue
+        for pattern in (f"\\b(?:{'|'.join(properties)})=(?:\\{{\\d+\\}}|\"\\d+(?:px)?\")", f"\\b(?:{'|'.join(keys)})\\s*:\\s*\\d+\\b"):
+            found = lines.select("file", "place", F.explode(F.regexp_extract_all("body", F.lit(pattern), F.lit(0))).alias("said")).withColumn("px", F.regexp_extract("said", "\\d+", 0).try_cast("int"))
+            one = finding(found.join(scale(table), "px"), said("{{s}} is the " + kind + " token {{n}}", s="said", n="name"), line=F.col("place") + 1)
+            out = one if out is None else out.unionByName(one)
+    return f.live.sparkSession.createDataFrame([], FINDING) if out is None else out
 
 
 BRANCHING = ("const", "let", "var", "if", "for", "while", "switch", "try", "throw", "catch")

@@ -78,6 +78,25 @@ def test_check(facts, name):
     assert all(r.message for r in got)
 
 
+TOKENS = {
+    "src/features/a/ui/all.tsx": '/* gap={16}\n padding: 16 */ const a = <B gap={16} />;\nconst b = { padding: 16 };\nconst c = <B radius="6px" p="16" />;\nconst d = { borderRadius: 6 }; // radius={6}\n',
+    "src/features/a/ui/style.ts": "export const s = {\n  marginTop: 16,\n};\n",
+    "src/features/a/ui/legal.tsx": 'const a = <B gap={7} radius={0} p="16em" />; const b = { borderRadius: 16, padding: 6 };\n',
+    "src/domains/m/a.ts": "const s = { padding: 16 };\n",
+    "src/shared/ui/theme.ts": "const s = { padding: 16 };\n",
+}
+
+
+def test_token_equality_has_four_surfaces(spark):
+    sources = tree.source_files(spark.createDataFrame(list(TOKENS.items()), "file string, text string"), [Tree("src")])
+    theme, radii = (spark.createDataFrame(rows, "name string, value string") for rows in ([("md", "1rem"), ("none", "0px")], [("md", "6px")]))
+    got = sorted((r.file.split("/")[-1], r.line, r.message) for r in structural.token_equality(structural.Facts(sources, theme=theme, radii=radii)).collect())
+    assert got == [
+        ("all.tsx", 2, "gap={16} is the spacing token md"), ("all.tsx", 3, "padding: 16 is the spacing token md"), ("all.tsx", 4, 'p="16" is the spacing token md'), ("all.tsx", 4, 'radius="6px" is the radius token md'),
+        ("all.tsx", 5, "borderRadius: 6 is the radius token md"), ("style.ts", 2, "marginTop: 16 is the spacing token md"),
+    ]
+
+
 def test_all_checks_have_cases():
     assert set(EXPECTED) == set(structural.CHECKS)
 
