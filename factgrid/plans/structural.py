@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
@@ -295,14 +295,35 @@ BRANCHING = ("const", "let", "var", "if", "for", "while", "switch", "try", "thro
 
 @check("health/trampolines")
 def trampolines(f: Facts) -> DataFrame:
-    """Exported functions of the target layers whose bodies neither bind nor branch; spans come from the depth of brackets."""
+    """Exported functions of the target layers, and methods of their exported object literals, whose bodies neither bind nor
+    branch; spans come from the depth of brackets."""
     v = f.vocabulary
     layers = f.live.where(paths.layer(F.col("source_path"), v).isin(*f.limits.trampoline_layers)).select("file", "text")
     c = tokens.code(tokens.tokens(layers))
-    name = F.when(F.col("n1") == "function", F.col("n2")).when((F.col("n1") == "async") & (F.col("n2") == "function"), F.col("n3"))
-    heads = c.where((F.col("token") == "export") & (F.col("depth") == 0)).withColumn("name", name).where("name is not null").select("file", F.col("start").alias("at"), "name")
-    opens = heads.join(c.where("token = '{' and depth = 0").select("file", "start"), "file").where("start > at").groupBy("file", "at", "name").agg(F.min("start").alias("from"))
-    spans = opens.join(c.where("token = '}' and depth = 1").select("file", "start"), "file").where("start > from").groupBy("file", "at", "name", "from").agg(F.min("start").alias("to"))
+    level = F.when(F.col("token") == "{", F.col("depth")).otherwise(F.col("depth") - 1)
+    pair = Window.partitionBy("file", "level").orderBy("start")  # at one level opening and closing braces take turns
+    braces = c.where((F.col("kind") == "mark") & F.col("token").isin("{", "}")).withColumn("level", level)
+    braces = braces.withColumns({"to": F.lead("start").over(pair), "after": F.lead("n1").over(pair)}).where("token = '{' and to is not null").select("file", "level", F.col("start").alias("from"), "to", "after")
+
+    n1, n2, n3 = F.col("n1"), F.col("n2"), F.col("n3")
+    exports = c.where((F.col("token") == "export") & (F.col("depth") == 0))
+    name = (
+        F.when(n1 == "function", n2).when((n1 == "async") & (n2 == "function"), n3)
+        .when((n1 == "default") & (n2 == "function"), n3).when((n1 == "default") & (n2 == "async") & (n3 == "function"), F.col("n4"))
+    )
+    heads = exports.withColumn("name", name).where(F.col("name").rlike(r"^[\p{L}_$]")).select("file", F.col("start").alias("at"), "name", F.lit(0).alias("level"))
+    assigned = exports.where(n1 == "const").select("file", F.col("start").alias("export")).join(c.where("token = '=' and depth = 0").select("file", "start", "n1"), "file").where("start > export").groupBy("file", "export").agg(F.min(F.struct("start", "n1")).alias("equals")).where("equals.n1 = '{'")
+    objects = assigned.join(braces.where("level = 0"), "file").where(F.col("from") > F.col("equals.start")).groupBy("file", "export").agg(F.min(F.struct("from", "to")).alias("object"))
+    first = F.col("p1").isin("{", ",") & (F.col("kind") == "name") & (F.col("depth") == 1)
+    method = F.when(first & (n1 == "("), F.col("token")).when(first & (F.col("token") == "async") & (F.col("k1") == "name") & (n2 == "("), n1)
+    methods = c.withColumn("name", method).where("name is not null").join(objects, "file").where("start > object.from and start < object.to").select("file", F.col("start").alias("at"), "name", F.lit(1).alias("level"))
+    heads = heads.unionByName(methods)
+
+    marks = heads.join(c.where(F.col("token").isin(";", ":")).select("file", F.col("depth").alias("level"), "token", "start"), ["file", "level"]).where("start > at")
+    marks = marks.groupBy("file", "at").agg(F.min(F.when(F.col("token") == ";", F.col("start"))).alias("stop"), F.min(F.when(F.col("token") == ":", F.col("start"))).alias("colon"))
+    opens = heads.join(braces, ["file", "level"]).where(F.col("from") > F.col("at")).join(marks, ["file", "at"], "left").where(F.col("stop").isNull() | (F.col("from") < F.col("stop")))
+    in_type = F.coalesce((F.col("colon") < F.col("from")) & F.col("after").isin("{", "|", "&", ">", "["), F.lit(False))
+    spans = opens.where(~in_type).groupBy("file", "at", "name").agg(F.min(F.struct("from", "to")).alias("body")).select("file", "at", "name", "body.from", "body.to")
     busy = spans.join(c.where((F.col("kind") == "name") & F.col("token").isin(*BRANCHING)).select("file", "start"), "file").where("start > from and start < to").select("file", "at")
     idle = spans.join(busy, ["file", "at"], "left_anti").join(layers, "file")
     return finding(idle, said("{{n}} only passes its call on", n="name"), "warning", line=text.line_of(F.col("text"), F.col("at")))

@@ -97,6 +97,31 @@ def test_token_equality_has_four_surfaces(spark):
     ]
 
 
+PASSING = """export default async function whole(a) { return b(a); }
+export const service: Service<X> = {
+  get(a) { return repo.get(a); },
+  async put(a: { b: C }): Promise<{ ok: boolean }> {
+    return repo.put(a);
+  },
+  busy(a) { if (a) return a; return repo.busy(a); },
+  typed(a): { ok: boolean } { const b = a; return b; },
+  nested: { deep(a) { return a; } },
+  call: other(a),
+};
+const hidden = { no(a) { return a; } };
+export function over(a: string): string;
+export function over(a) { const b = a; return b; }
+export const made = make({ no(a) { return a; } });
+"""
+
+
+def test_trampolines_in_objects_and_defaults(spark):
+    files = [("src/features/a/service/x.ts", PASSING), ("src/features/a/service/y.ts", "export default function plain(a) { return b(a); }\n"), ("src/features/a/repo/x.ts", PASSING)]
+    sources = tree.source_files(spark.createDataFrame(files, "file string, text string"), [Tree("src")])
+    got = sorted((r.file[-4:], r.line, r.message.split()[0]) for r in structural.trampolines(structural.Facts(sources)).collect())
+    assert got == [("x.ts", 1, "whole"), ("x.ts", 3, "get"), ("x.ts", 4, "put"), ("y.ts", 1, "plain")]
+
+
 def test_all_checks_have_cases():
     assert set(EXPECTED) == set(structural.CHECKS)
 
