@@ -78,6 +78,14 @@ def test_missing_nodes_fail(syntax):
         syntax.covered()
 
 
+def test_runs_over_syntax_need_nodes(syntax):
+    assert set(perfile.IMPORTS) < set(perfile.RULES)
+    for names in (["boundary/no-test-imports", "health/no-nested-ternary"], None):
+        with pytest.raises(ValueError, match="no syntax nodes"):
+            perfile.run(syntax, names)
+    assert perfile.run(syntax, ["boundary/no-test-imports"]).columns == ["rule", "severity", "file", "start", "message"]
+
+
 def test_type_checks(spark):
     nodes = [(1, "any", False, False), (2, "unknown", False, False), (3, "object", False, False), (4, "string", False, False), (5, "union", False, False), (6, "reference", False, False), (7, "dict", False, False), (8, "any", False, True), (9, "dict", True, False)]
     children = [(5, 2, "union"), (5, 4, "union"), (6, 5, "promise")]
