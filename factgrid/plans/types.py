@@ -23,15 +23,19 @@ class Types:
     nodes: DataFrame
     children: DataFrame
     indexes: DataFrame
-    most_depth: int = 32
 
     @cached_property
     def broad(self) -> DataFrame:
         """(type_id, broad): types that are, or contain by union or container, any or unknown. Error types never are."""
         good = self.nodes.where("not is_error")
         edges = self.children.where(F.col("edge").isin(*THROUGH)).select(F.col("child").alias("a"), F.col("type_id").alias("b"))
-        start = good.where(F.col("flags").isin(*BROAD)).select(F.col("type_id").alias("node"))
-        return graph.bounded_reach(edges, start, self.most_depth).select(F.col("node").alias("type_id")).distinct().join(good.select("type_id"), "type_id", "left_semi")
+        front = met = good.where(F.col("flags").isin(*BROAD)).select(F.col("type_id").alias("a")).distinct()
+        while True:  # ends, as each round marks types that had no mark
+            front = graph.cut(front.join(edges, "a").select(F.col("b").alias("a")).distinct().join(met, "a", "left_anti"))
+            if front.isEmpty():
+                break
+            met = graph.cut(met.unionByName(front))
+        return met.select(F.col("a").alias("type_id")).join(good.select("type_id"), "type_id", "left_semi")
 
     @cached_property
     def direct(self) -> DataFrame:

@@ -116,3 +116,11 @@ def test_strong_components(spark):
         want = {x: min(y for y in nodes if (x, y) in reach and (y, x) in reach) for x in nodes}
         got = {r.node: r.component for r in graph.strongly_connected(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
         assert got == want
+
+
+def test_broad_types_nest_to_any_depth(spark):
+    depth = 36
+    nodes = spark.createDataFrame([(1, "any", False, False)] + [(i, "array", True, False) for i in range(2, depth + 2)], "type_id long, flags string, array_like boolean, is_error boolean").coalesce(1)
+    children = spark.createDataFrame([(i, i - 1, "array") for i in range(2, depth + 2)] + [(2, depth + 1, "union")], "type_id long, child long, edge string").coalesce(1)
+    t = types.Types(spark.createDataFrame([], types.SITE), nodes, children, spark.createDataFrame([], "type_id long, value_type_id long"))
+    assert {r.type_id for r in t.broad.collect()} == set(range(1, depth + 2))
