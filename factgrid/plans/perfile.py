@@ -213,6 +213,7 @@ def no_nested_ternary(s: Syntax) -> DataFrame:
     return found(depth.where(F.col("n") > s.limits["ternary"] - 1), "conditionals nest too deep")
 
 
+#: Words that say nothing of what a symbol is for.
 VACANT = ("data", "helper", "helpers", "info", "manager", "object", "shape", "stuff", "thing", "util", "utils")
 
 
@@ -292,7 +293,9 @@ def hook_count(s: Syntax) -> DataFrame:
 def single_component_export(s: Syntax) -> DataFrame:
     w = Window.partitionBy("file").orderBy("start")
     barrel = paths.is_barrel(F.col("source_path"), s.vocabulary)
-    return found(_components(s).where(~barrel & (F.coalesce(F.col("attrs")["compound"], F.lit("")) != "true")).withColumn("n", F.row_number().over(w)).where("n = 2"), "a second exported component")
+    own = _components(s).where(~barrel & (F.coalesce(F.col("attrs")["compound"], F.lit("")) != "true"))
+    names = own.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "name"))), lambda x: x["name"]), ", ").alias("names"))
+    return found(own.withColumn("n", F.row_number().over(w)).where("n = 2").join(names, "file"), text.rendered("more than one component is exported: {{n}}", {"n": F.col("names")}))
 
 
 @rule("react/prop-count")
@@ -407,7 +410,7 @@ def ambient_globals(s: Syntax) -> DataFrame:
     v = s.vocabulary
     path = F.col("attrs")["path"]
     kind = F.when(path.rlike("^(?:process\\.env|import\\.meta\\.env)(?:\\.|$)"), "env").when(path.rlike("^fetch(?:\\.|$)"), "api-client").when(path.rlike("^localStorage(?:\\.|$)"), "browser-storage")
-    own = F.when(F.col("kind") == "env", paths.stem(F.col("source_path")).isin(*[n for n, _ in v.env_modules])).otherwise(F.regexp_extract(paths.stem(F.col("source_path")), "[^/]+$", 0) == F.col("kind"))
+    own = F.when(F.col("kind") == "env", paths.stem(F.col("source_path")).isin(*[n for n, _ in v.env_modules])).otherwise(paths.stem(F.col("source_path")) == F.concat(F.lit(f"{v.infrastructure}/"), "kind"))
     reads = s.ast.where("coalesce(attrs['shadowed'], '') <> 'true'").withColumn("kind", kind).where("kind is not null")
     return found(reads.where(~own).dropDuplicates(["file", "start"]), text.rendered("{{p}} is read outside its module", {"p": F.col("attrs")["path"]}))
 

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import cut
+from ..functions import text
+from . import perfile, types
 from .structural import CHECKS, FINDING, Facts
 
 RUN = f"check string, tree string, check_order int, tree_order int, crashed boolean, {FINDING}"
 
 
-def run_checks(trees: dict[str, Facts], checks: dict[str, Callable[[Facts], DataFrame]] | None = None) -> DataFrame:
-    """Findings of all checks on all trees in their order: RUN. A check that raises is a row with crashed true and the reason, so
+def run_checks(trees: dict, checks: dict[str, Callable] | None = None) -> DataFrame:
+    """Findings of all checks on all trees (Facts, or Projects where the checks take those) in their order: RUN. A check that raises is a row with crashed true and the reason, so
     a crash never looks like a clean tree. Each check's findings are checkpointed, not collected."""
     chosen = CHECKS if checks is None else checks
     if not trees or not chosen:
@@ -33,6 +36,67 @@ def run_checks(trees: dict[str, Facts], checks: dict[str, Callable[[Facts], Data
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+@dataclass
+class Project:
+    """What the rules read: facts of whole trees, syntax nodes, and type facts; rules whose facts are missing fail as such."""
+
+    facts: Facts
+    syntax: perfile.Syntax | None = None
+    types: types.Types | None = None
+
+    @property
+    def sources(self) -> DataFrame:
+        return self.facts.sources
+
+
+def _lined(rows: DataFrame, p: Project) -> DataFrame:
+    """Findings of places as findings of lines."""
+    files = p.sources.select("file", F.col("text").alias("__text"))
+    return rows.join(files, "file", "left").select("severity", "file", text.line_of(F.col("__text"), F.col("start")).alias("line"), "message")
+
+
+def _per_file(name: str) -> Callable[[Project], DataFrame]:
+    def run(p: Project) -> DataFrame:
+        if p.syntax is None:
+            raise ValueError("no syntax facts")
+        return _lined(perfile.run(p.syntax, [name]), p)
+
+    return run
+
+
+def _typed(name: str) -> Callable[[Project], DataFrame]:
+    def run(p: Project) -> DataFrame:
+        if p.types is None:
+            raise ValueError("no type facts")
+        return _lined(types.CHECKS[name](p.types), p)
+
+    return run
+
+
+def _whole(name: str) -> Callable[[Project], DataFrame]:
+    return lambda p: CHECKS[name](p.facts)
+
+
+#: All rules in their order: whole trees, types, then files. Of the two of one name that of files has its kind in brackets.
+ALL: dict[str, Callable[[Project], DataFrame]] = {n: _whole(n) for n in CHECKS} | {n: _typed(n) for n in types.CHECKS} | {f"{n} (file)" if n in CHECKS else n: _per_file(n) for n in perfile.RULES}
+
+
+def run_all(projects: dict[str, Project]) -> DataFrame:
+    """Findings of all rules on all trees: RUN."""
+    return run_checks(projects, ALL)
+
+
+def merged(runs: list[DataFrame]) -> DataFrame:
+    """Several runs as one: a check of the same id in several is one check, in the place where it first comes."""
+    both = None
+    for i, r in enumerate(runs):
+        r = r.withColumn("__run", F.lit(i))
+        both = r if both is None else both.unionByName(r)
+    first = both.groupBy("check").agg(F.min(F.struct("__run", "check_order")).alias("first"))
+    order = first.select("check", F.row_number().over(Window.orderBy("first")).alias("__order"))  # one row a check
+    return both.join(F.broadcast(order), "check").select("check", "tree", (F.col("__order") - 1).cast("int").alias("check_order"), *[c for c in runs[0].columns if c not in ("check", "tree", "check_order")])
+
+
 def staged(findings: DataFrame, files: DataFrame | None) -> DataFrame:
     """Errors, and warnings about staged files; all where no list is given."""
     if files is None:
@@ -48,7 +112,7 @@ def totals(findings: DataFrame) -> DataFrame:
 
 
 def report(findings: DataFrame) -> DataFrame:
-    """The lines of a report in order of checks, trees, files and lines."""
+    """The lines of a report in order of checks, trees, files (by UTF-16 code units) and lines."""
     place = F.concat_ws(":", "file", F.col("line").cast("string"))
     line = F.concat(F.when(F.col("severity") == "error", "FAIL").otherwise("WARN"), F.lit(" ["), F.col("check"), F.lit("] "), F.coalesce(place, F.lit("")), F.lit(" "), F.col("message"))
-    return findings.orderBy("check_order", "tree_order", F.col("file").asc_nulls_last(), F.col("line").asc_nulls_first(), "message").select(line.alias("line"))
+    return findings.orderBy("check_order", "tree_order", F.encode("file", "UTF-16BE").asc_nulls_last(), F.col("line").asc_nulls_first(), "message").select(line.alias("line"))

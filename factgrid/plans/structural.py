@@ -66,7 +66,8 @@ class Facts:
 
     @cached_property
     def exports(self) -> DataFrame:
-        return tokens.scan_exports(self.live.select("file", "text"))
+        """Scanned once per run and kept in the shared folder, as are the resolved imports."""
+        return graph.cut(tokens.scan_exports(self.live.select("file", "text")))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -79,7 +80,7 @@ class Facts:
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return tree.import_edges(self.live, self.imports, self.vocabulary)
+        return graph.cut(tree.import_edges(self.live, self.imports, self.vocabulary))
 
 
 Check = Callable[[Facts], DataFrame]
@@ -111,12 +112,15 @@ def file_size(f: Facts) -> DataFrame:
 
 @check("health/doc-budgets")
 def doc_budgets(f: Facts) -> DataFrame:
-    rows = f.budgets.join(f.files.select(F.col("file").alias("path"), text.word_count(F.col("text")).alias("words")), "path", "left").withColumn("limit", F.when(F.col("ceiling").rlike("^[0-9]+$"), F.col("ceiling").try_cast("long")))
+    """Ceilings of f.budgets (path, ceiling as written, and manifest if there are several): what can't be read is filed at the manifest."""
+    budgets = f.budgets if "manifest" in f.budgets.columns else f.budgets.withColumn("manifest", F.lit(None).cast("string"))
+    rows = budgets.join(f.files.select(F.col("file").alias("path"), text.word_count(F.col("text")).alias("words")), "path", "left").withColumn("limit", F.when(F.col("ceiling").rlike("^[0-9]+$"), F.col("ceiling").try_cast("long")))
     status = (
-        F.when(F.col("limit").isNull() | (F.col("limit") <= 0), "the ceiling isn't a positive whole number").when(F.col("words").isNull(), "the document is missing")
+        F.when(F.col("path").isNull(), "the manifest isn't an object of ceilings").when(F.col("limit").isNull() | (F.col("limit") <= 0), said("the ceiling of {{p}} isn't a positive whole number", p="path")).when(F.col("words").isNull(), "the document is missing")
         .when(F.col("words") > F.col("limit"), said("{{w}} words, above the ceiling of {{c}}", w="words", c="limit")).when(F.col("limit") > text.ratchet(F.col("words"), f.limits.budget_slack), said("the ceiling of {{c}} is loose for {{w}} words", w="words", c="limit"))
     )
-    return finding(rows.withColumn("status", status).where("status is not null"), F.col("status"), file="path")
+    at = F.when(F.col("limit").isNull() | (F.col("limit") <= 0), F.coalesce("manifest", "path")).otherwise(F.col("path"))
+    return finding(rows.withColumn("status", status).withColumn("at", at).where("status is not null"), F.col("status"), file="at")
 
 
 @check("placement/topology")
@@ -162,19 +166,22 @@ def layer_direction(f: Facts) -> DataFrame:
 @check("boundary/layer-occupancy")
 def layer_occupancy(f: Facts) -> DataFrame:
     v = f.vocabulary
-    held = f.live.select(paths.segment(F.col("source_path"), 2).alias("from_feature"), paths.layer(F.col("source_path"), v).alias("l")).where("l is not null").groupBy("from_feature").agg(F.collect_set("l").alias("occupied"))  # at most four
+    own = ["tree_root", "from_feature"]
+    held = f.live.select("tree_root", paths.segment(F.col("source_path"), 2).alias("from_feature"), paths.layer(F.col("source_path"), v).alias("l")).where("l is not null").groupBy(*own).agg(F.collect_set("l").alias("occupied"))  # at most four
     between = F.slice(F.array(*map(F.lit, LAYERS)), (_rank("from_layer") + 1).cast("int"), F.greatest(_rank("to_layer") - _rank("from_layer") - 1, F.lit(0)).cast("int"))
-    down = f.edges.where("from_feature = to_feature and from_layer is not null and to_layer is not null").where(_rank("to_layer") > _rank("from_layer") + 1).join(held, "from_feature").withColumn("skipped", F.array_intersect(between, "occupied")).where(F.size("skipped") > 0)
-    schema = f.edges.where("from_layer is not null and from_layer <> 'repo'").where(paths.under(paths.stem(F.col("target_path")), f"{v.infrastructure}/{v.db}/{v.db_schema}")).join(held, "from_feature").where(F.array_contains("occupied", "repo"))
+    down = f.edges.where("from_feature = to_feature and from_layer is not null and to_layer is not null").where(_rank("to_layer") > _rank("from_layer") + 1).join(held, own).withColumn("skipped", F.array_intersect(between, "occupied")).where(F.size("skipped") > 0)
+    schema = f.edges.where("from_layer is not null and from_layer <> 'repo'").where(paths.under(paths.stem(F.col("target_path")), f"{v.infrastructure}/{v.db}/{v.db_schema}")).join(held, own).where(F.array_contains("occupied", "repo"))
     return finding(down, said("{{a}} skips {{s}} on the way to {{b}}", a="from_layer", b="to_layer", s=F.array_join("skipped", ", ")), line=F.col("line")).unionByName(finding(schema, said("{{a}} reaches the database schema past the feature's repo", a="from_layer"), line=F.col("line")))
 
 
 def _rings(f: Facts, kind: str, folder: str) -> DataFrame:
+    """One graph per tree: a node is a tree and a name in it."""
     e = f.edges.where(f"from_{kind} is not null and to_{kind} is not null and from_{kind} <> to_{kind}")
-    pairs = first_per(e, [f"from_{kind}", f"to_{kind}"], ["file", "offset"])
-    ring = graph.cycles(pairs.select(F.col(f"from_{kind}").alias("a"), F.col(f"to_{kind}").alias("b")))
-    mark = lambda n: ring.select(F.col("node").alias(f"{n}_{kind}"), F.col("component").alias(f"{n}_component"))
-    trail = pairs.join(mark("from"), f"from_{kind}").join(mark("to"), f"to_{kind}").where("from_component = to_component")
+    pairs = first_per(e, ["tree_root", f"from_{kind}", f"to_{kind}"], ["file", "offset"])
+    node = lambda n: F.struct("tree_root", F.col(f"{n}_{kind}").alias("name"))
+    ring = graph.cycles(pairs.select(node("from").alias("a"), node("to").alias("b")))
+    mark = lambda n: ring.select(F.col("node.tree_root"), F.col("node.name").alias(f"{n}_{kind}"), F.col("component.name").alias(f"{n}_component"))
+    trail = pairs.join(mark("from"), ["tree_root", f"from_{kind}"]).join(mark("to"), ["tree_root", f"to_{kind}"]).where("from_component = to_component")
     lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" -> ", f"from_{kind}", f"to_{kind}"))), "; ")
     rows = trail.groupBy("tree_root", "from_component").agg(lines.alias("trail"))
     rows = rows.withColumn("file", F.concat_ws("/", "tree_root", F.lit(folder), "from_component"))
@@ -201,11 +208,13 @@ def feature_deps(f: Facts) -> DataFrame:
 @check("api/feature-visibility")
 def feature_visibility(f: Facts) -> DataFrame:
     pairs = f.edges.where("from_feature is not null and to_feature is not null and from_feature <> to_feature").select("tree_root", F.col("from_feature").alias("importer"), F.col("to_feature").alias("feature")).distinct()
-    state = f.visibility.select("file", "feature", jsons.grant_state(F.col("body")).alias("state"), jsons.grants(F.col("body")).alias("grants"))
-    granted = state.where("state = 'grants'").select("file", "feature", F.explode("grants").alias("importer", "reason"))
+    roots = f.sources.select("tree_root").distinct()
+    inside = F.col("file").startswith(F.concat("tree_root", F.lit(f"/{f.vocabulary.features}/")))  # a file of the longest root that holds it
+    state = f.visibility.select("file", "feature", jsons.grant_state(F.col("body")).alias("state"), jsons.grants(F.col("body")).alias("grants")).join(F.broadcast(roots), inside)
+    granted = state.where("state = 'grants'").select("file", "tree_root", "feature", F.explode("grants").alias("importer", "reason"))
     place = F.concat_ws("/", "tree_root", F.lit(f.vocabulary.features), "feature", F.lit("visibility.json"))
-    bare = pairs.join(granted, ["feature", "importer"], "left_anti").groupBy("tree_root", "feature").agg(F.array_join(F.array_sort(F.collect_set("importer")), ", ").alias("importers")).withColumn("file", place)
-    stale = granted.join(pairs, ["feature", "importer"], "left_anti")
+    bare = pairs.join(granted, ["tree_root", "feature", "importer"], "left_anti").groupBy("tree_root", "feature").agg(F.array_join(F.array_sort(F.collect_set("importer")), ", ").alias("importers")).withColumn("file", place)
+    stale = granted.join(pairs, ["tree_root", "feature", "importer"], "left_anti")
     out = finding(bare, said("imported without a grant by {{i}}", i="importers")).unionByName(finding(state.where("state = 'malformed'"), F.lit("the visibility file isn't an object of reasons")))
     return out.unionByName(finding(stale, said("{{i}} has a grant but imports nothing", i="importer"), "warning"))
 
@@ -216,13 +225,13 @@ def barrel_purity(f: Facts) -> DataFrame:
     chain would use up depth for is judged by its shortest one."""
     v = f.vocabulary
     run = f.resolved.where("not type_only")
-    steps = run.where("target_path is not null").select(F.col("source_path").alias("a"), F.col("target_path").alias("b")).distinct()
-    start = f.live.where(paths.segment(F.col("source_path"), 1).isin(v.features, v.domains) & (paths.depth(F.col("source_path")) == 3) & (paths.segment(paths.stem(F.col("source_path")), 3) == v.client_barrel)).select(F.col("source_path").alias("node"))
-    fns = f.live.where(F.col("text").rlike("createServerFn\\s*\\(")).select(F.col("source_path").alias("a"))
+    steps = run.where("target_path is not null").select(F.col("file").alias("a"), F.concat_ws("/", "tree_root", "target_path").alias("b")).distinct()
+    start = f.live.where(paths.segment(F.col("source_path"), 1).isin(v.features, v.domains) & (paths.depth(F.col("source_path")) == 3) & (paths.segment(paths.stem(F.col("source_path")), 3) == v.client_barrel)).select(F.col("file").alias("node"))
+    fns = f.live.where(F.col("text").rlike("createServerFn\\s*\\(")).select(F.col("file").alias("a"))
     steps = steps.join(fns, "a", "left_anti")
     met = graph.bounded_reach(steps, start, f.limits.trace_depth + 1)
-    server = run.where(F.col("specifier").startswith("node:") | F.col("package").isin(*f.limits.server_packages)).select(F.col("source_path").alias("node"), "specifier").distinct()
-    names = f.live.select(F.col("source_path").alias("start"), "file")
+    server = run.where(F.col("specifier").startswith("node:") | F.col("package").isin(*f.limits.server_packages)).select(F.col("file").alias("node"), "specifier").distinct()
+    names = f.live.select(F.col("file").alias("start"), "file")
     dirty = met.where(F.col("depth") <= f.limits.trace_depth).join(server.join(fns.withColumnRenamed("a", "node"), "node", "left_anti"), "node").join(names, "start")
     deep = met.where(F.col("depth") > f.limits.trace_depth).select("start").distinct().join(names, "start")
     return finding(dirty, said("reaches {{s}} through {{n}}", s="specifier", n="node")).unionByName(finding(deep, said("imports run deeper than {{d}}", d=F.lit(f.limits.trace_depth))))
@@ -290,6 +299,7 @@ def token_equality(f: Facts) -> DataFrame:
     return f.live.sparkSession.createDataFrame([], FINDING) if out is None else out
 
 
+#: Words that bind or branch.
 BRANCHING = ("const", "let", "var", "if", "for", "while", "switch", "try", "throw", "catch")
 
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from factgrid.plans import catalogue
+from factgrid.plans import cases, catalogue, runner
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations benchmark embeddings".split()
 
@@ -27,6 +27,11 @@ def test_query_matches_sql(spark, sf, con, name):
     assert catalogue.KIND[name] in ("R", "T")
 
 
+def test_every_rule_has_a_query():
+    names = {cases.query_name(n.removesuffix(" (file)")) for n in runner.ALL}
+    assert names <= set(cases.RULE_QUERIES) and "rule_boundary_import_policy_tree" in cases.RULE_QUERIES
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -13,6 +13,7 @@ FILES = {
     "src/infrastructure/payments/pay.ts": 'import s from "stripe"; import f from "@/features/a"; ',
     "src/routes/home.tsx": 'import e from "@/env.server"; import d from "@/infrastructure/db";',
     "src/features/a/repo/r.ts": 'import d from "@/infrastructure/db";',
+    "src/features/b/ui/list.tsx": 'import m from "@/infrastructure/mail";',
     "src/env.server.ts": "x",
 }
 VIEW = "src/features/a/ui/view.tsx"

@@ -3,6 +3,7 @@
 import pytest
 
 from factgrid.functions.paths import Tree, Vocabulary
+from factgrid.plans import facts as jsons
 from factgrid.plans import runner, structural
 from factgrid.sources import tokens, tree
 
@@ -35,6 +36,7 @@ FILES = {
     "src/styles.css": "a{color:#000}",
     "docs/a.md": "w " * 160,
     "docs/fit.md": "w " * 70,
+    "docs/snug.md": "w " * 69,
     "other/z.ts": "x\n" * 700,
 }
 
@@ -44,7 +46,7 @@ def facts(spark):
     files = spark.createDataFrame(list(FILES.items()), "file string, text string")
     sources = tree.source_files(files, [Tree("src")])
     grants = [("src/features/b/visibility.json", "b", '{"zz": "no"}'), ("src/features/c/visibility.json", "c", '{"q": ""}')]
-    budgets = [("docs/a.md", "100"), ("docs/fit.md", "72"), ("docs/none.md", "200"), ("docs/fit.md", "74"), ("docs/fit.md", '"600"')]
+    budgets = [("docs/a.md", "100"), ("docs/fit.md", "72"), ("docs/none.md", "200"), ("docs/fit.md", "74"), ("docs/snug.md", "74"), ("docs/fit.md", '"600"')]  # 70 words allow ceilings up to 74, 69 up to 73
     return structural.Facts(
         sources, files=files, visibility=spark.createDataFrame(grants, "file string, feature string, body string"),
         budgets=spark.createDataFrame(budgets, "path string, ceiling string"), theme=spark.createDataFrame([("sm", "0.5rem")], "name string, value string"),
@@ -53,7 +55,7 @@ def facts(spark):
 
 EXPECTED = {
     "health/file-size": ["FAIL src/shared/big.ts", "WARN src/shared/long.mts"],
-    "health/doc-budgets": ["FAIL docs/a.md", "FAIL docs/fit.md", "FAIL docs/fit.md", "FAIL docs/none.md"],
+    "health/doc-budgets": ["FAIL docs/a.md", "FAIL docs/fit.md", "FAIL docs/none.md", "FAIL docs/snug.md"],
     "placement/topology": ["FAIL src/features/a/loose.ts", "FAIL src/features/a/stray/s.ts", "FAIL src/loose.ts", "FAIL src/stray/q.ts"],
     "boundary/import-policy": ["FAIL src/domains/m/a.ts"],
     "placement/layer-direction": ["FAIL src/features/a/service/x.ts"],
@@ -78,6 +80,29 @@ def test_check(facts, name):
     assert all(r.message for r in got)
 
 
+def test_trees_are_apart(spark):
+    """Rings, layers, grants and barrels of one tree say nothing of another."""
+    files = {
+        "one/domains/m/a.ts": 'import { n } from "../n/b";', "one/domains/n/b.ts": "x", "two/domains/m/a.ts": "x", "two/domains/n/b.ts": 'import { m } from "../m/a";',
+        "one/features/a/ui/v.ts": 'import r from "../repo/r";', "one/features/a/repo/r.ts": "x", "two/features/a/service/s.ts": "x", "one/features/b/index.ts": 'export { v } from "@/features/a/ui/v";', "two/features/a/ui/v.ts": 'import "node:fs";',
+    }
+    sources = tree.source_files(spark.createDataFrame(list(files.items()), "file string, text string"), [Tree("one"), Tree("two")])
+    grants = spark.createDataFrame([("two/features/a/visibility.json", "a", '{"b": "in two"}')], "file string, feature string, body string")
+    f = structural.Facts(sources, visibility=grants)
+    for name in ("graph/domain-cycles", "boundary/layer-occupancy", "api/barrel-purity"):
+        assert structural.CHECKS[name](f).collect() == [], name
+    assert sorted((r.severity, r.file) for r in structural.feature_visibility(f).collect()) == [("error", "one/features/a/visibility.json"), ("warning", "two/features/a/visibility.json")]
+
+
+def test_scales_and_manifests_are_read(spark):
+    modules = spark.createDataFrame([("t.ts", "export const spacing = {\n  none: '0px',\n  'x-s': \"0.25rem\",\n};\nconst radius = { md: '6px' }")], "file string, text string")
+    assert sorted(map(tuple, jsons.scale(modules, "spacing").collect())) == [("none", "0px"), ("x-s", "0.25rem")]
+    assert list(map(tuple, jsons.scale(modules, "radius").collect())) == [("md", "6px")]
+    bodies = [("a", '{"x.md": 10, "y.md": "10", "z.md": null}'), ("b", "[]"), ("c", "{"), ("d", "{}"), ("e", None)]
+    got = sorted(map(tuple, jsons.budgets(spark.createDataFrame(bodies, "file string, text string")).collect()), key=str)
+    assert got == [("a", "x.md", "10"), ("a", "y.md", '"10"'), ("a", "z.md", "null"), ("b", None, "[]"), ("c", None, None), ("e", None, None)]
+
+
 TOKENS = {
     "src/features/a/ui/all.tsx": '/* gap={16}\n padding: 16 */ const a = <B gap={16} />;\nconst b = { padding: 16 };\nconst c = <B radius="6px" p="16" />;\nconst d = { borderRadius: 6 }; // radius={6}\n',
     "src/features/a/ui/style.ts": "export const s = {\n  marginTop: 16,\n};\n",
@@ -136,6 +161,10 @@ def test_runner_keeps_crashes_apart(facts, spark):
     assert (total.errors, total.warnings, total.crashed, total.status) == (1, 1, 1, 1)
     assert runner.staged(found, spark.createDataFrame([("other",)], "file string")).where("severity = 'warning'").count() == 0
     assert runner.staged(found, None).count() == 3
+    none = {"a/one": lambda p: runner._per_file("health/no-nested-ternary")(p), "a/two": lambda p: runner._typed("types/no-runtime-typeof")(p), "health/file-size": runner.ALL["health/file-size"]}
+    part = runner.run_checks({"src": runner.Project(facts)}, none)
+    assert sorted((r.check, r.crashed) for r in part.collect()) == [("a/one", True), ("a/two", True), ("health/file-size", False), ("health/file-size", False)]
+    assert len(runner.ALL) == 65 and [r.check for r in runner.merged([part.where("check = 'a/two'"), part]).select("check", "check_order").distinct().orderBy("check_order").collect()] == ["a/two", "a/one", "health/file-size"]
     assert runner.report(found).first().line.startswith("FAIL [health/file-size] src/shared/big.ts")
 
 
@@ -145,7 +174,7 @@ import type { B } from "types";
 import { type C, type D } from "c-types";
 import { type E, f } from "mixed";
 import G, { type H } from "default-and-type";
-import * as ns from `tpl`;
+import * as ns from "tpl";
 export { x } from "re";
 export * from "star";
 const p = import("dyn"); const q = import(`${x}`); const r = require("req"); require.resolve("res");
