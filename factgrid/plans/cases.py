@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..functions.paths import Tree
 from ..sources import tokens, tree
+from . import derive
 from . import facts as jsons
 from . import perfile, policy, runner, structural, types
 from .catalogue import ORACLE_SQL, QUERIES, _values, query
@@ -98,6 +99,12 @@ def _nodes() -> None:
         for i in range(n):
             _node(VIEW, "TSPropertySignature", 1705 + 100 * at + 5 * i, 1708 + 100 * at + 5 * i, f"p{i}", role="prop")
         _node(VIEW, "TSPropertySignature", 1790 + 100 * at, 1793 + 100 * at, "children", role="prop")
+    for at, (name, first, refs, head) in enumerate([("Wide", 20, [("Base", "heritage")], True), ("Base", 30, [("Wide", "heritage"), ("Gone", "heritage")], False), ("Thin", 40, [("Base", "typeof")], True), ("Joined", 50, [("Wide", "intersection"), ("Thin", "intersection")], True)]):
+        _node(VIEW, "TSInterfaceDeclaration", 2700 + 50 * at, 2745 + 50 * at, name, **({"props": "true"} if head else {}))
+        for i in range(4):
+            _node(VIEW, "TSPropertySignature", 2705 + 50 * at + 5 * i, 2708 + 50 * at + 5 * i, f"q{first + i}", role="prop")
+        for i, (to, role) in enumerate(refs):
+            _node(VIEW, "TSTypeReference", 2730 + 50 * at + 5 * i, 2733 + 50 * at + 5 * i, to, role=role)
     for file in (VIEW, SHARED):
         _node(file, "JSXOpeningElement", 1900, 1905, "div")
         _node(file, "JSXOpeningElement", 1906, 1909, "Box")
@@ -185,7 +192,6 @@ SYNTAX = {
       OR x.name = 'useCallback' AND {_has('x', _a('i', 'async') + " = 'true'")})""",
     "react/hook-count": f"{_COMPONENT} AND (SELECT count(*) FROM n h WHERE h.file = x.file AND h.s >= x.s AND h.e <= x.e AND h.type = 'CallExpression' AND regexp_matches(h.name, '^use[A-Z]')) >= 7",
     "react/single-component-export": f"{_COMPONENT} AND coalesce({_a('x', 'compound')}, '') <> 'true' AND (SELECT count(*) FROM n y WHERE y.file = x.file AND y.s < x.s AND {_COMPONENT.replace('x.', 'y.')} AND coalesce({_a('y', 'compound')}, '') <> 'true') = 1",
-    "react/prop-count": f"{_a('x', 'props')} = 'true' AND (SELECT count(DISTINCT p.name) FROM n p WHERE p.file = x.file AND p.s >= x.s AND p.e <= x.e AND p.role = 'prop' AND p.name <> 'children') >= 8",
     "style/no-raw-primitives": f"{_UNSTYLED} AND (x.type = 'JSXOpeningElement' AND x.name IN ({_LIST(perfile.RAW)}) OR {_a('x', 'source')} = 'react-native' AND (x.type = 'ExportAllDeclaration' OR x.type = 'ImportSpecifier' AND x.name IN ({_LIST(perfile.PRIMITIVES)})))",
     "style/no-inline-color": f"(x.type = 'Property' OR x.type = 'JSXAttribute' AND x.name IN ('c', 'bg', 'color')) AND regexp_matches({_a('x', 'value')}, '{_COLOR}')",
     "style/no-inline-font-size": f"{_UNSTYLED} AND x.type IN ('Property', 'JSXAttribute') AND x.name = 'fontSize'",
@@ -212,6 +218,42 @@ def query_name(rule: str) -> str:
 
 for _rule, _condition in SYNTAX.items():
     case(query_name(_rule), f"{N} SELECT {'DISTINCT ' if _rule in ONCE else ''}x.file, x.s AS start FROM n x WHERE {_condition}", lambda spark, r=_rule: perfile.RULES[r](_syntax(spark)).select("file", "start"))
+case(
+    query_name("react/prop-count"),
+    N.replace("WITH n", "WITH RECURSIVE n") + f""", d AS (SELECT * FROM n WHERE type IN ('TSTypeLiteral', 'TSInterfaceDeclaration', 'TSTypeAliasDeclaration') AND name IS NOT NULL),
+    named AS (SELECT d.file, d.name AS a, r.name AS b FROM d JOIN n r ON r.file = d.file AND r.s >= d.s AND r.e <= d.e AND r.id <> d.id WHERE r.type = 'TSTypeReference' AND r.role IN ('heritage', 'intersection', 'aliased')),
+    r(file, head, name) AS (SELECT file, name, name FROM d WHERE {_a('d', 'props')} = 'true' AND ends_with(file, 'x') UNION SELECT r.file, head, b FROM r JOIN named ON named.file = r.file AND a = r.name)
+    SELECT h.file, h.s AS start FROM r JOIN d ON d.file = r.file AND d.name = r.name JOIN n p ON p.file = d.file AND p.s >= d.s AND p.e <= d.e AND p.role = 'prop' AND p.name <> 'children' JOIN d h ON h.file = r.file AND h.name = head GROUP BY h.file, h.s HAVING count(DISTINCT p.name) >= 8""",
+    lambda spark: perfile.RULES["react/prop-count"](_syntax(spark)).select("file", "start"),
+)
+#: A parser's bare nodes of: const [x, setX] = useState(1); return db.insert(a).values(b) as X; (process.env!).KEY; vi.mock(p)
+BARE = [
+    (1, 0, None, "Program", 0, 200, None), (2, 1, "body", "VariableDeclaration", 0, 30, None), (3, 2, "declarations", "VariableDeclarator", 6, 29, None), (4, 3, "id", "ArrayPattern", 6, 15, None), (5, 4, "element", "Identifier", 7, 8, "x"), (6, 4, "element", "Identifier", 10, 14, "setX"),
+    (7, 3, "init", "CallExpression", 18, 29, None), (8, 7, "callee", "Identifier", 18, 26, "useState"), (9, 1, "body", "ReturnStatement", 31, 80, None), (10, 9, "argument", "TSAsExpression", 38, 79, None), (11, 10, "expression", "CallExpression", 38, 74, None), (12, 11, "callee", "MemberExpression", 38, 60, "values"),
+    (13, 12, "object", "CallExpression", 38, 53, None), (14, 13, "callee", "MemberExpression", 38, 47, "insert"), (15, 14, "object", "Identifier", 38, 40, "db"), (16, 1, "body", "ExpressionStatement", 90, 120, None), (17, 16, "expression", "MemberExpression", 90, 119, "KEY"), (18, 17, "object", "ParenthesizedExpression", 90, 105, None),
+    (19, 18, "expression", "TSNonNullExpression", 91, 104, None), (20, 19, "expression", "MemberExpression", 91, 103, "env"), (21, 20, "object", "Identifier", 91, 98, "process"), (22, 1, "body", "ExpressionStatement", 130, 140, None), (23, 22, "expression", "CallExpression", 130, 139, None), (24, 23, "callee", "MemberExpression", 130, 137, "mock"),
+    (25, 24, "object", "Identifier", 130, 132, "vi"), (26, 9, "argument", "ObjectExpression", 75, 77, None), (27, 22, "expression", "TSAsExpression", 131, 139, None),
+]
+RESOLVED = [("a.ts", 25, True), ("a.ts", 21, False), ("a.ts", 15, False)]
+
+
+def _derived(spark: SparkSession) -> DataFrame:
+    bare = spark.createDataFrame([("a.ts", i, p, r, k, s, e, n, {}) for i, p, r, k, s, e, n in BARE], perfile.NODE)
+    return derive.derived(bare, spark.createDataFrame(RESOLVED, "file string, node_id long, resolved boolean"))
+
+
+case(
+    "derived_attributes",
+    f"""WITH RECURSIVE n AS (SELECT * FROM ({_values(BARE)}) t(id, parent, role, type, s, e, name)), up(id, chain, pure, root) AS (SELECT id, name, true, id FROM n WHERE type = 'Identifier'
+      UNION ALL SELECT p.id, up.chain || CASE WHEN c.role = 'object' THEN ',' || p.name ELSE '' END, up.pure AND p.type <> 'CallExpression', up.root FROM up JOIN n c ON c.id = up.id JOIN n p ON p.id = c.parent
+        WHERE c.role = 'object' AND p.type = 'MemberExpression' OR c.role = 'callee' AND p.type = 'CallExpression' OR c.role = 'expression' AND p.type IN ('TSAsExpression', 'TSNonNullExpression', 'ParenthesizedExpression')),
+    calls AS (SELECT c.parent AS id, chain, CASE WHEN pure THEN replace(chain, ',', '.') END AS callee, root FROM n c JOIN up ON up.id = c.id WHERE c.role = 'callee'),
+    gaps AS (SELECT c.id, arg_max(coalesce((SELECT max(b.e) FROM n b WHERE b.parent = st.parent AND b.e <= st.s AND regexp_matches(b.type, '(Statement|Declaration)$')), 0), st.s) AS gap FROM n c JOIN n st ON c.s >= st.s AND c.e <= st.e AND regexp_matches(st.type, '(Statement|Declaration)$') WHERE c.type = 'TSAsExpression' GROUP BY c.id)
+    SELECT n.id AS node_id, coalesce(n.name, CASE WHEN n.type = 'CallExpression' THEN string_split(calls.chain, ',')[-1] END) AS name, callee, calls.chain, CASE WHEN n.type IN ('MemberExpression', 'Identifier') AND up.pure THEN replace(up.chain, ',', '.') END AS path,
+      CASE WHEN 25 IN (calls.root, CASE WHEN n.type IN ('MemberExpression', 'Identifier') AND up.pure THEN up.root END) THEN 'true' END AS shadowed, CASE WHEN n.id = 3 THEN 'useState' END AS init, CASE WHEN n.id = 3 THEN 'setX' END AS setter, CAST(gap AS VARCHAR) AS statement_gap, CASE WHEN n.id = 3 THEN 'true' END AS module_level, CASE WHEN n.id = 26 THEN 'true' END AS empty
+    FROM n LEFT JOIN calls ON calls.id = n.id LEFT JOIN up ON up.id = n.id LEFT JOIN gaps ON gaps.id = n.id""",
+    lambda spark: _derived(spark).select("node_id", "name", *[F.col("attrs")[k].alias(k) for k in ("callee", "chain", "path", "shadowed", "init", "setter", "statement_gap", "module_level", "empty")]),
+)
 case(
     query_name("health/no-nested-ternary"),
     f"{N} SELECT c.file, c.s AS start FROM n c JOIN n b ON b.file = c.file AND c.s >= b.s AND c.e <= b.e AND b.role IN ('consequent', 'alternate') JOIN n p ON p.file = b.file AND p.id = b.parent AND p.type = 'ConditionalExpression' WHERE c.type = 'ConditionalExpression' GROUP BY c.file, c.id, c.s HAVING count(*) > 1",

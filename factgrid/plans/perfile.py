@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions.paths import Vocabulary
+from ..operators import graph
 from . import policy
 from .structural import Facts
 
@@ -298,11 +299,25 @@ def single_component_export(s: Syntax) -> DataFrame:
     return found(own.withColumn("n", F.row_number().over(w)).where("n = 2").join(names, "file"), text.rendered("more than one component is exported: {{n}}", {"n": F.col("names")}))
 
 
+#: Types in a row that references are followed through; more are an error of the facts.
+MOST_TYPES = 10_000
+
+
 @rule("react/prop-count")
 def prop_count(s: Syntax) -> DataFrame:
-    """Distinct props but children of a component's own props type; types that others extend are not followed."""
-    props = s.ast.where("role = 'prop' and name <> 'children'")
-    n = _within(props, s.ast.where("attrs['props'] = 'true'").where(paths.is_component(F.col("file")))).groupBy("file", "outer_name", F.col("outer_start").alias("at")).agg(F.count_distinct("name").alias("n"))
+    """Distinct props but children of a component's props type and of all types that it names, extends or joins, in its file.
+
+    References (TSTypeReference with role heritage, intersection or aliased) are followed until no new type is met, so rings end.
+    """
+    declared = s.ast.where("type in ('TSTypeLiteral', 'TSInterfaceDeclaration', 'TSTypeAliasDeclaration') and name is not null")
+    node = lambda name: F.struct("file", F.col(name).alias("name"))
+    props = _within(s.ast.where("role = 'prop' and name <> 'children'"), declared).select(node("outer_name").alias("node"), "name").distinct()
+    names = _within(s.ast.where("type = 'TSTypeReference' and role in ('heritage', 'intersection', 'aliased')"), declared)
+    edges = names.select(node("outer_name").alias("a"), node("name").alias("b")).distinct()
+    heads = declared.where("attrs['props'] = 'true'").where(paths.is_component(F.col("file")))
+    reached = graph.bounded_reach(edges, heads.select(node("name").alias("node")), MOST_TYPES)
+    n = reached.join(props, "node").groupBy("start").agg(F.count_distinct("name").alias("n"))
+    n = heads.select("file", F.col("start").alias("at"), node("name").alias("head")).join(n.withColumnRenamed("start", "head"), "head")
     return found(n.where(F.col("n") >= s.limits["props"]).withColumnRenamed("at", "start"), text.rendered("{{n}} props", {"n": F.col("n")}))
 
 
