@@ -12,6 +12,7 @@ ranges of the ring and a window within each range.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ from .common import stored
 
 RING_BITS = 60
 #: Most points of a ring: the plan is a table of at most points x shards rows on the driver.
-MOST_POINTS = 1 << 16
+MOST_POINTS = 1 << 14
 #: Rows that a window over a narrow range of the ring gets, about; equal keys above EXPANDED are expanded in blocks.
 RANGE_ROWS, EXPANDED = 2000, 1000
 
@@ -46,15 +47,12 @@ def ring(shards: int, virtual_nodes: int) -> Ring:
         raise ValueError(f"shards and virtual nodes must be at least 1, and their product at most {MOST_POINTS}")
     marks = sorted((place_of(f"shard-{s}-node-{v}"), s) for s in range(shards) for v in range(virtual_nodes))
     owners = [s for _, s in marks]
-    orders = []
-    for i in range(len(marks)):
-        order: dict[int, None] = {}
-        for k in range(len(marks)):
-            order.setdefault(owners[(i + k) % len(marks)])
-            if len(order) == shards:
-                break
-        orders.append(list(order))
-    return Ring([p for p, _ in marks], owners, orders)
+    orders: list[list[int]] = []
+    order = list(dict.fromkeys(owners))
+    for owner in reversed(owners):  # an arc further back asks its own point's shard first, then as the arc after it
+        order = [owner, *(s for s in order if s != owner)]
+        orders.append(order)
+    return Ring([p for p, _ in marks], owners, orders[::-1])
 
 
 def capacities(rows: int, shards: int, slack: float) -> list[int]:
@@ -88,19 +86,19 @@ def place_column(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def constants(values: list[int], kind: str) -> Column:
+    """An array that the plan holds as one constant, not as one expression a value."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def passed(circle: Ring, place: Column) -> Column:
     """How many points lie before a place: looked up by its first bits, then among the few points of that cell."""
     bits = max(1, len(circle.points).bit_length())
-    cells: list[list[int]] = [[] for _ in range(1 << bits)]
-    for p in circle.points:
-        cells[p >> (RING_BITS - bits)].append(p)
-    before = [0]
-    for c in cells:
-        before.append(before[-1] + len(c))
-    none = F.array().cast("array<long>")
-    table = F.array(*[F.struct(F.lit(n).alias("before"), (F.array(*[F.lit(p).cast("long") for p in c]) if c else none).alias("points")) for n, c in zip(before, cells)])
-    cell = table[F.shiftright(place, RING_BITS - bits).cast("int")]
-    return cell["before"] + F.size(F.filter(cell["points"], lambda p: p < place))
+    before = [bisect.bisect_left(circle.points, c << (RING_BITS - bits)) for c in range((1 << bits) + 1)]
+    table, points = constants(before, "int"), constants(circle.points, "long")
+    cell = F.shiftright(place, RING_BITS - bits).cast("int")
+    first, end = table[cell], table[cell + 1]
+    return first + F.size(F.filter(F.slice(points, first + 1, end - first), lambda p: p < place))
 
 
 def assign_shards(docs: DataFrame, shards: int = 8, virtual_nodes: int = 64, slack: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,7 +138,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, virtual_nodes: int = 64, sla
     table = spark.createDataFrame(pieces, "arc int, first long, end long, shard int, slot long").groupBy("arc").agg(F.collect_list(F.struct("first", "end", "shard", "slot")).alias("pieces"))
     found = few.unionByName(blocks).join(F.broadcast(table), "arc")  # at most points x shards pieces
     piece = F.filter("pieces", lambda p: (p["first"] <= F.col("rank")) & (F.col("rank") < p["end"]))[0]
-    owners = F.array(*[F.lit(s) for s in circle.owners])
+    owners = constants(circle.owners, "int")
     return found.withColumn("piece", piece).select(
         F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "arc", owners[F.col("arc")].alias("home"), F.col("piece.shard").alias("shard"), (F.col("piece.slot") + F.col("rank") - F.col("piece.first")).alias("slot")
     )
