@@ -213,10 +213,11 @@ def judge(docs: DataFrame, references: dict[str, Reference], text: str = "text",
     a language it is compared with the nearest one, and where there is no reference it is kept with null distances. It is
     kept if both distances are within the limits. Rows are independent; columns with the names of new ones are replaced.
     """
-    tagged = docs.withColumn("__both", F.concat(F.coalesce(F.col(lang), F.lit("")), F.lit("\x00"), F.coalesce(F.col(text), F.lit(""))))
+    tagged = docs.withColumn("__both", F.concat(F.coalesce(F.length(lang), F.lit(0)).cast("string"), F.lit(":"), F.coalesce(F.col(lang), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
 
     def run(values: list) -> list:
-        langs, texts = zip(*[v.split("\x00", 1) for v in values], strict=True)
+        parts = [(v[at + 1 : (end := at + 1 + int(v[:at]))], v[end:]) for v in values for at in (v.index(":"),)]  # the language's length comes first
+        langs, texts = zip(*parts, strict=True)
         out: list[list] = [[] for _ in MEASURES]
         for name, t, classes in zip(langs, texts, class_counts(list(texts)), strict=True):
             base = base_counts(t)
