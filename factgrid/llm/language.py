@@ -129,8 +129,8 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
     """A profile for each language of the documents, over all of them. The driver gets PROFILE rows a language."""
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = count_grams(docs, text, lang).withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < PROFILE)
-    rows = top.select("lang", "gram", "rank").limit(PROFILE * MOST_LANGUAGES + 1).collect()
+    top = count_grams(docs, text, lang).withColumn("place", F.row_number().over(order)).where(F.col("place") <= PROFILE)  # in this form groups are cut before the shuffle
+    rows = top.select("lang", "gram", (F.col("place") - 1).alias("rank")).limit(PROFILE * MOST_LANGUAGES + 1).collect()
     if len(rows) > PROFILE * MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted({r["lang"] for r in rows})
