@@ -187,16 +187,28 @@ class TemplateIndex:
     def verify(self, region: np.ndarray, template: np.ndarray, offset: int) -> Iterator[tuple[int, int, float]]:
         """(first shingle, last shingle, containment) of each stretch of the region that holds enough of the template."""
         hits = np.flatnonzero(np.isin(region, template))
-        i, size = 0, len(template)
-        while i < len(hits):
-            inside = hits[(hits >= hits[i]) & (hits < hits[i] + 2 * size)]
-            _, first = np.unique(region[inside], return_index=True)
-            inside, share = inside[: first.max() + 1], len(first) / size  # up to where the last new shingle comes
-            if share >= LEAST_CONTAINMENT:
-                yield offset + int(inside[0]), offset + int(inside[-1]), share
-                i = int(np.searchsorted(hits, inside[-1], side="right"))
-            else:
-                i += 1
+        which = np.searchsorted(template, region[hits]).tolist()
+        at, size = hits.tolist(), len(template)
+        count, distinct, i, end = [0] * size, 0, 0, 0  # of the hits from i to end, which are at most twice the template apart
+        while i < len(at):
+            while end < len(at) and at[end] < at[i] + 2 * size:
+                distinct += not count[which[end]]
+                count[which[end]] += 1
+                end += 1
+            step = i + 1
+            if distinct / size >= LEAST_CONTAINMENT:
+                seen: set[int] = set()
+                last = i
+                for k in range(i, end):
+                    if which[k] not in seen:
+                        seen.add(which[k])
+                        last = k  # where the last new shingle comes
+                yield offset + at[i], offset + at[last], distinct / size
+                step = last + 1
+            for k in range(i, min(step, end)):
+                count[which[k]] -= 1
+                distinct -= not count[which[k]]
+            i = step
 
     def chosen(self, matches: list[tuple[int, int, int, int, float]], w: Words) -> list[tuple[int, str, int, int, float]]:
         out: list[tuple[int, str, int, int, float]] = []
