@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "co.in", "com.br", "com.cn", "com.mx", "com.tr", "co.za", "co.kr")
@@ -55,10 +57,26 @@ def suffix_of(host: Column) -> Column:
     return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
-    """The suffix with one more label; a host of fewer labels is its own domain."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def domain_of(host: Column, suffix: Column) -> Column:
+    """The suffix with one more label; a host of no more labels than its suffix is its own domain."""
+    labels = F.size(F.split(suffix, "[.]")) + 1
+    parts = F.split(host, "[.]")
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - labels + 1, F.lit(1)), labels), ".")
+
+
+def with_domains(hosts: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    """hosts (one row each) with suffix and domain. suffixes: a table of names (`suffix`, lower case) under which domains are
+    registered; of those that a host ends with the longest counts, without any the last label. Without a table, the fixed
+    two-label suffixes and last labels."""
+    if suffixes is None:
+        found = hosts.withColumn("suffix", suffix_of(F.col("host")))
+    else:
+        parts = F.split("host", "[.]")
+        ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+        known = hosts.select("host", F.explode(ends).alias("suffix")).join(suffixes.select("suffix").distinct(), "suffix", "left_semi")
+        longest = known.groupBy("host").agg(F.max_by("suffix", F.length("suffix")).alias("suffix"))
+        found = hosts.join(longest, "host", "left").withColumn("suffix", F.coalesce("suffix", F.substring_index("host", ".", -1)))
+    return found.withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -80,14 +98,16 @@ def _strength(children: DataFrame, parent_mean: str, how: Reputation) -> float:
     return 1 / rho - 1
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "page_id", how: Reputation = Reputation()) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "page_id", how: Reputation = Reputation(), suffixes: DataFrame | None = None) -> DataFrame:
     """A row for each host of pages: host, n and good outcomes, the posterior's alpha and beta, and its bound.
 
-    outcomes: rows of the key and `good` (0 or 1), each one outcome; null good counts as none. A host without outcomes has
-    its prior. Without any outcomes the mean of all is 1/2.
+    outcomes: rows of the key and `good` (0 or 1), each one outcome of the page, however often pages has that page; null good
+    counts as none. A host without outcomes has its prior. Without any outcomes the mean of all is 1/2. The counts of the
+    hosts are written once, to the shared folder.
     """
-    judged = pages.select(F.col(key).alias("key"), host_of(url).alias("host")).join(outcomes.select(F.col(key).alias("key"), F.col("good").cast("long").alias("good")), "key", "left")
-    hosts = judged.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    judged = pages.select(F.col(key).alias("key"), host_of(url).alias("host")).distinct().join(outcomes.select(F.col(key).alias("key"), F.col("good").cast("long").alias("good")), "key", "left")
+    hosts = judged.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    hosts = stored(with_domains(hosts, suffixes), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     n, good = suffixes.agg(F.sum("n"), F.sum("good")).first()
@@ -108,7 +128,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, url: str = "url", key
     return hosts.select("host", "n", "good", "alpha", "beta", (F.col("mean") - how.deviations * deviation).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id", how: Reputation = Reputation()) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id", how: Reputation = Reputation(), suffixes: DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule, verdict (allow or block), and n_outcomes, n_good and bound of the host.
 
     The longest fitting rule decides; else the host's posterior bound, block below least_bound. A null url, or one without
@@ -118,7 +138,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], url: s
     new = {"host", "path", "rule", "verdict", "n_outcomes", "n_good", "bound"}
     kept = [c for c in pages.columns if c.lower() not in new]
     source = pages.select(*[F.col(f"`{c}`") for c in {*kept, url, key}])
-    reputation = host_reputation(source, outcomes, url, key, how).select(F.col("host").alias("__host"), F.col("n").alias("n_outcomes"), F.col("good").alias("n_good"), "bound")
+    reputation = host_reputation(source, outcomes, url, key, how, suffixes).select(F.col("host").alias("__host"), F.col("n").alias("n_outcomes"), F.col("good").alias("n_good"), "bound")
     split = source.withColumns({"__host": host_of(url), "__path": path_of(url)})
     joined = split.join(reputation, "__host", "left").withColumn("__rule", rule_of(F.col("__host"), F.col("__path"), rules))
     by_rule = F.coalesce(*[F.when(F.col("__rule") == r.text, F.lit(r.verdict)) for r in rules], F.lit(None).cast("string"))
@@ -136,7 +156,7 @@ ORACLE = f"""
 WITH split AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-judged AS (SELECT host, CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality IS NOT NULL THEN 0 END AS good FROM split LEFT JOIN labels ON page_id = doc_id),
+judged AS (SELECT host, CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality IS NOT NULL THEN 0 END AS good FROM (SELECT DISTINCT page_id, host FROM split) LEFT JOIN labels ON page_id = doc_id),
 labelled AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS good, array_to_string(list_reverse(list_reverse(string_split(host, '.'))[:2]), '.') AS two,
          array_to_string(list_reverse(list_reverse(string_split(host, '.'))[:3]), '.') AS three, string_split(host, '.')[-1] AS one FROM judged GROUP BY host),
 hosts AS (SELECT host, n, good, CASE WHEN two IN ({_TWO}) THEN three ELSE two END AS domain, CASE WHEN two IN ({_TWO}) THEN two ELSE one END AS suffix FROM labelled),
