@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +39,7 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "records")
     records.write_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     records.write_index(spark, path, f"{path}-index")
-    return records.placed(records.read_records(spark, path))
+    return records.digests(spark, path, f"{path}-index")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +48,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secrets.digests(secrets.find_secrets(docs))
+    return secrets.digests(secrets.find_secrets(docs, words=secrets.learn_words(docs)))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ A file is a sequence of frames; all integers are little-endian:
 A payload is int64 doc_id | uint8 flags (1: doc_id is null) | uint8 bytes per id (2 or 4) | ids. The checksum is masked as
 ((crc >> 15) | (crc << 17)) + 0xA282EAD8 modulo 2^32. The last byte separates frames: Spark's text writer, whose commit
 protocol survives lost executors and writes to any file system, puts it there. Files part-00000..., read in the order of
-their names, hold the documents in ascending order of doc_id.
+their numbers, hold the documents in ascending order of doc_id. The index has each record's file, place, offset and length;
+readers take records from the offsets that they are given, without walking through the rest of a file.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .bpe import MAX_VOCABULARY_BYTES
@@ -35,6 +36,8 @@ MASK = 0xA282EAD8
 HEAD, TAIL, LEAD = 12, 5, 10
 #: Text bytes that one file is made of; a file is read as one value, so it must stay well below an executor's memory.
 FILE_BYTES = 24 << 20
+#: Bytes of frames whose checksums are computed at a time, and rows of an index that is sent to all tasks at most.
+CHECK_BYTES, BROADCAST_ROWS = 1 << 20, 500_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -129,12 +132,12 @@ def text_encoder(definition: str) -> Callable[[list[str]], tuple[np.ndarray, np.
     """A function from texts to all their ids and the count of each, by a tokenizer of the tokenizers library.
 
     Where the tokenizer splits texts by the public byte-level pattern and does nothing else to them, the ids of a text are
-    those of its pieces one after another, so only pieces that weren't met yet go to the library. Else whole texts do.
+    those of its pieces one after another, so only pieces that weren't met yet go to the library. Else whole texts do, as do
+    texts that hold an added token as written, which the library makes one id.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition)
-    tokenizer.encode_special_tokens = True
     tokenizer.no_truncation()
     tokenizer.no_padding()
     parts = json.loads(definition)
@@ -152,15 +155,30 @@ def text_encoder(definition: str) -> Callable[[list[str]], tuple[np.ndarray, np.
         data = flat.tobytes()
         return whole([data[a : a + n].decode("utf-8", "surrogatepass") for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)])
 
-    return TextEncoder(PieceStore(new)).encode
+    cached = TextEncoder(PieceStore(new)).encode
+    added = [t["content"] for t in parts.get("added_tokens") or ()]
+
+    def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [i for i, t in enumerate(texts) if t and any(a in t for a in added)]
+        if not odd:
+            return cached(texts)
+        ids, counts = cached([None if i in odd else t for i, t in enumerate(texts)])
+        each = np.split(ids, np.cumsum(counts)[:-1])
+        for i in odd:
+            each[i] = whole([texts[i]])[0]
+        return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
+
+    return encode
 
 
 def write_documents(docs: DataFrame, path: str, tokenizer_path: str, text: str = "text", end_id: int = 0, key: str = "doc_id") -> int:
     """Writes the token ids of all documents to record files in `path`, in ascending order of the key; returns the number of files at most.
 
-    A null text is empty; every document ends with end_id. A null key comes first; documents of one key are ordered by their
-    texts. Other columns of docs are not written. An empty table gives files without frames. Only the key and the text are
-    shuffled, once, by ranges of the key: no partition holds more than a range, and none is collected.
+    A null text is empty; every document ends with end_id. A null key comes first; documents of one key are ordered by the
+    crc32 of their texts, equal ones by their place in docs. Other columns of docs are not written. An empty table gives files
+    without frames. Only the key and the text are shuffled, once, by ranges of the key, crc32 and place. For each time that its
+    text is as long as the mean, a document is joined by a row without text, which goes after the shuffle: so ranges are even
+    in bytes and in rows, wherever long texts lie, and equal rows fill more than one.
     """
     from tokenizers import Tokenizer
 
@@ -171,8 +189,8 @@ def write_documents(docs: DataFrame, path: str, tokenizer_path: str, text: str =
     width = 2 if max(Tokenizer.from_str(definition).get_vocab_size(), end_id) <= 0x10000 else 4
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(definition)
-    rows = docs.select(F.col(key).cast("long").alias("key"), plain_text(text).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = docs.select(F.col(key).cast("long").alias("key"), plain_text(text).alias("text")).withColumns({"crc": F.crc32("text"), "place": F.monotonically_increasing_id()})
+    total, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     files = max(spark.sparkContext.defaultParallelism, math.ceil(total / FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +199,16 @@ def write_documents(docs: DataFrame, path: str, tokenizer_path: str, text: str =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = text_encoder(shared.value)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch.filter(pc.equal(batch.column("weight"), 0)), "text"):
                 ids, counts = encode(part.column("text").to_pylist())
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 out, bounds = frames(part.column("key").to_pylist(), ids, counts + 1, width)
                 yield pa.RecordBatch.from_arrays([binary_array(out, bounds)], names=["value"])
 
-    ordered = rows.repartitionByRange(files, F.col("key").asc_nulls_first(), F.crc32("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.crc32("text"), "text")
+    weights = F.sequence(F.lit(0), F.floor(F.octet_length("text") / F.lit(max(1.0, total / max(1, n)))).cast("int"))
+    weighed = rows.select("key", "text", "crc", "place", F.explode(weights).alias("weight")).withColumn("text", F.when(F.col("weight") == 0, F.col("text")))
+    order = [F.col("key").asc_nulls_first(), "crc", "place"]
+    ordered = weighed.repartitionByRange(files, *order).sortWithinPartitions(*order).select("key", "text", "weight")  # a filter here would move before the shuffle
     map_arrow(ordered, run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
     return files
 
@@ -206,14 +227,27 @@ def walk(content: bytes, check: bool = True) -> tuple[np.ndarray, np.ndarray]:
         lengths.append(n)
         at += HEAD + n + TAIL
     start, length = np.array(starts, dtype=np.int64), np.array(lengths, dtype=np.int64)
-    if check and len(start):
-        flat = np.frombuffer(content, dtype=np.uint8)
-        stored = lambda where: flat[ranges(where, np.full(len(where), 4))].copy().view("<u4")
-        if (masked(crc32c(flat, start - HEAD, np.full(len(start), 8))) != stored(start - 4)).any() or (masked(crc32c(flat, start, length)) != stored(start + length)).any():
-            raise ValueError("a checksum doesn't match")
+    if check:
+        verify(content, start, length)
     return start, length
 
 
+def verify(content: bytes, start: np.ndarray, length: np.ndarray) -> None:
+    """Compares the lengths and checksums of the frames of these payloads with what the file holds."""
+    flat = np.frombuffer(content, dtype=np.uint8)
+    stored = lambda where, n, kind: flat[ranges(where, np.full(len(where), n))].copy().view(kind)
+    if len(start) and (start.min() < HEAD or (start + length).max() + TAIL > len(flat)):
+        raise ValueError("a record lies outside its file")
+    done = np.cumsum(length)
+    at = 0
+    while at < len(start):
+        stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + CHECK_BYTES, side="right")))
+        s, n = start[at:stop], length[at:stop]
+        if (stored(s - HEAD, 8, "<i8") != n).any() or (masked(crc32c(flat, s - HEAD, np.full(len(s), 8))) != stored(s - 4, 4, "<u4")).any() or (masked(crc32c(flat, s, n)) != stored(s + n, 4, "<u4")).any():
+            raise ValueError("a checksum doesn't match")
+        at = stop
+
+
 def _records(content: bytes, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int | None, bytes]]:
     """doc_id and the ids as little-endian unsigned 32-bit integers."""
     for at, n in zip(starts.tolist(), lengths.tolist(), strict=True):
@@ -222,55 +256,83 @@ def _records(content: bytes, starts: np.ndarray, lengths: np.ndarray) -> Iterato
         yield None if null else key, ids.astype("<u4").tobytes()
 
 
-RECORD = "file string, ordinal long, doc_id long, offset long, length long, ids binary"
+INDEX = "file string, ordinal long, doc_id long, offset long, length long, n_tokens long"
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content) of the record files."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
-def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """A row for each record of the files in `path`: its file's name, its place there (ordinal, byte offset and length of
-    the payload), doc_id and, if asked for, ids (little-endian unsigned 32-bit integers). All checksums are verified."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+def scan_records(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each record of the files in `path`: INDEX (offset and length are the payload's). All checksums are verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 content = content.as_py()
                 starts, lengths = walk(content)
-                for at in range(0, len(starts), 1000):
-                    s, n = starts[at : at + 1000], lengths[at : at + 1000]
-                    rows = list(_records(content, s, n))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.rsplit("/", 1)[-1]] * len(s)), pa.array(range(at, at + len(s)), type=pa.int64()), pa.array([r[0] for r in rows], type=pa.int64()), pa.array(s), pa.array(n)] + ([pa.array([r[1] for r in rows], type=pa.binary())] if with_ids else []),
-                        names=["file", "ordinal", "doc_id", "offset", "length"] + ["ids"] * with_ids,
-                    )
+                heads = [struct.unpack_from("<qBB", content, at) for at in starts.tolist()]
+                widths = np.array([h[2] for h in heads], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(starts), type=pa.string()), pa.array(range(len(starts)), type=pa.int64()), pa.array([None if h[1] else h[0] for h in heads], type=pa.int64()), pa.array(starts), pa.array(lengths), pa.array((lengths - LEAD) // np.maximum(widths, 1))],
+                    names=["file", "ordinal", "doc_id", "offset", "length", "n_tokens"],
+                )
 
-    return map_arrow(files, run, RECORD if with_ids else RECORD.removesuffix(", ids binary"))
+    return map_arrow(_files(spark, path), run, INDEX)
 
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> None:
-    """Writes the offset index of the record files as Parquet: file, ordinal, doc_id, offset, length, and the number of ids."""
-    read_records(spark, path).withColumn("n_tokens", F.expr("octet_length(ids) div 4").cast("long")).drop("ids").write.parquet(index_path)
+    """Writes the offset index of the record files as Parquet: INDEX."""
+    scan_records(spark, path).write.parquet(index_path)
+
+
+def read_records(spark: SparkSession, path: str, index: DataFrame, mark: str) -> DataFrame:
+    """doc_id, `mark` (a long column of the index that is passed on) and ids (little-endian unsigned 32-bit integers) of the
+    records that the index has rows for, taken from their offsets; their checksums are verified, other records aren't looked at.
+
+    The rows of a file's records go to where the file is read, as one array: no more than a file's worth. Without contents,
+    they are sent to all tasks while there are at most BROADCAST_ROWS of them, else both are shuffled by file.
+    """
+    entries = index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length", F.col(mark).alias("mark")))).alias("entries"))
+    entries = entries.select("file", *[F.col(f"entries.{c}").alias(c) for c in ("offset", "length", "mark")])
+    if index.count() <= BROADCAST_ROWS:
+        entries = F.broadcast(entries)
+    found = _files(spark, path).join(entries, "file").select("content", "offset", "length", "mark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                content = batch.column(0)[i].as_py()
+                starts, lengths, marks = (batch.column(k)[i].values.to_numpy() for k in (1, 2, 3))
+                verify(content, starts, lengths)
+                for at in range(0, len(starts), 1000):
+                    rows = list(_records(content, starts[at : at + 1000], lengths[at : at + 1000]))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int64()), pa.array(marks[at : at + 1000]), pa.array([r[1] for r in rows], type=pa.binary())], names=["doc_id", mark, "ids"])
+
+    return map_arrow(found, run, f"doc_id long, {mark} long, ids binary")
 
 
 def read_shuffled(spark: SparkSession, path: str, index_path: str, seed: int) -> DataFrame:
     """All records in a random order that the seed decides: position (random key), doc_id, ids. The order is drawn over the index."""
-    order = spark.read.parquet(index_path).select("file", "ordinal", F.xxhash64(F.lit(seed), "file", "ordinal").alias("position"))
-    return order.join(read_records(spark, path), ["file", "ordinal"]).select("position", "doc_id", "ids").orderBy("position", "doc_id")
+    order = spark.read.schema(INDEX).parquet(index_path).withColumn("position", F.xxhash64(F.lit(seed), "file", "ordinal"))
+    return read_records(spark, path, order, "position").select("position", "doc_id", "ids").orderBy("position", "doc_id")
 
 
-def placed(records: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of records, start being the number of ids in all records before.
+def placed(index: DataFrame) -> DataFrame:
+    """The index with start, the number of ids in all records before.
 
-    Within a file the sums follow its ordinals; the files' totals, one row each, are summed in one window.
+    Within a file the sums follow its ordinals; the files' totals, one row each, are summed in one window, by the files' numbers
+    (a name has five digits at least, and more from the 100,000th file on).
     """
-    rows = records.select("file", "ordinal", "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return place(rows)
-
-
-def place(rows: DataFrame) -> DataFrame:
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = rows.groupBy("file").agg(F.sum("n_tokens").alias("n_tokens")).select("file", before.alias("base"))
+    number = F.regexp_extract("file", "part-([0-9]+)", 1).cast("long")
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = index.groupBy("file").agg(F.sum("n_tokens").alias("n_tokens")).select("file", before.alias("base"))
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("inside", inside).join(bases, "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return index.withColumn("inside", inside).join(bases, "file").withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside")
 
 
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+def digests(spark: SparkSession, path: str, index_path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of all records, read through the index."""
+    ids = read_records(spark, path, placed(spark.read.schema(INDEX).parquet(index_path)), "start")
+    return ids.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

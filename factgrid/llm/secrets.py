@@ -27,8 +27,6 @@ princess football baseball shadow superman batman trustno changeme default examp
 true false your here enter insert replace placeholder string text data name email mail home work office love happy summer winter
 spring autumn monday friday january february march april june july august september october november december server database
 system service account public private access company internet computer""".split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
 #: Substitutions of letters, and the rows of a keyboard.
 LEET = str.maketrans("4310$@7!5", "aeiosatis")
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
@@ -46,58 +44,90 @@ def brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33) if c.isascii() else 2.0
 
 
-def segments(value: str, i: int, low: str, plain: str) -> list[tuple[int, float]]:
-    """(end, log10 guesses) of the words, dates, repeats and keyboard walks that start at i."""
-    out = []
-    for j in range(i + 3, min(len(value), i + LONGEST) + 1):
-        rank = RANK.get(low[i:j])
-        if rank is not None:
-            out.append((j, math.log10(rank) + (LOG_SEGMENT if value[i:j] != low[i:j] else 0)))
-        elif (rank := RANK.get(plain[i:j])) is not None:
-            out.append((j, math.log10(rank) + 2 * LOG_SEGMENT))
-    for pattern, cost in ((DATE, LOG_DATE), (YEAR, LOG_YEAR)):
-        if m := pattern.match(value, i):
-            out.append((m.end(), cost))
-    for width in (1, 2, 3, 4):
-        unit, j = value[i : i + width], i + width
-        while len(unit) == width and value.startswith(unit, j):
-            j += width
-        if j - i >= max(3, 2 * width):
-            out.append((j, sum(map(brute, unit)) + math.log10((j - i) // width)))
-    j = i + 1
-    while j < len(value) and (low[j - 1], low[j]) in NEXT:
-        j += 1
-    if j - i >= 4:
-        out.append((j, math.log10(40) + math.log10(j - i) + 0.5 * (j - i - 1) * LOG_SEGMENT))
-    for step in (1, -1):
-        j = i + 1
-        while j < len(value) and value[j].isalnum() and ord(value[j]) - ord(value[j - 1]) == step:
-            j += 1
-        if j - i >= 3:
-            out.append((j, math.log10(20) + math.log10(j - i)))
+#: Units of a repeat, and characters of a walk or sequence, up to which it may end anywhere; longer ones end where they can't go on.
+SHORT = 16
+
+
+class Words:
+    """Ranks of words, commonest first: COMMON, then learned ones."""
+
+    def __init__(self, learned: list[str] | tuple[str, ...] = ()):
+        self.rank = {w: i for i, w in enumerate(dict.fromkeys([*COMMON, *learned]), 1)}
+        self.longest = max(map(len, self.rank))
+
+
+KNOWN = Words()
+
+
+def run_lengths(n: int, goes_on) -> list[int]:
+    """For each place, how often goes_on holds from there on without a break; right to left, each place once."""
+    out = [0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        out[i] = out[i + 1] + 1 if goes_on(i) else 0
     return out
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Words = KNOWN) -> float:
     """log10 of the guesses of the cheapest segmentation of the value (dynamic programming over its places).
 
-    Runs of brute-forced characters count as one segment. The work follows the length, as no segment but repeats, walks
-    and sequences is longer than a word, and those are looked for only where they start.
+    Segments are words (also with capitals or substituted letters), dates, years, repeats of 1 to 4 characters, keyboard walks,
+    sequences of code points, and brute-forced characters, which count as one segment where they follow one another. Repeats,
+    walks and sequences end after up to SHORT units or where they can't go on. The work follows the length: how far each of
+    them goes is known from the place after it.
     """
     n = len(value)
     low = "".join(c.lower() if c.isascii() else c for c in value)
     plain = low.translate(LEET)
+    cost_of = [brute(c) for c in value]
+    before = [0.0]
+    for c in cost_of:
+        before.append(before[-1] + c)
+    periods = [(w, run_lengths(n, lambda i, w=w: i + w < n and value[i] == value[i + w])) for w in (1, 2, 3, 4)]
+    walks = run_lengths(n, lambda i: i + 1 < n and (low[i], low[i + 1]) in NEXT)
+    steps = [run_lengths(n, lambda i, d=d: i + 1 < n and value[i + 1].isalnum() and ord(value[i + 1]) - ord(value[i]) == d) for d in (1, -1)]
     best = [0.0] + [math.inf] * n  # with the last segment closed
     open_run = [math.inf] * (n + 1)  # with a brute-force run going on
     for i in range(n):
-        here = min(best[i], open_run[i])
-        open_run[i + 1] = min(open_run[i], best[i] + LOG_SEGMENT * (i > 0)) + brute(value[i])
-        started = i > 0 and (value[i - 1] == value[i])  # inside a run: its start has offered every end already
-        for j, cost in () if started and i > 1 and value[i - 2] == value[i] else segments(value, i, low, plain):
-            best[j] = min(best[j], here + cost + LOG_SEGMENT * (i > 0))
+        join = LOG_SEGMENT if i else 0.0
+        open_run[i + 1] = min(open_run[i], best[i] + join) + cost_of[i]
+        here = min(best[i], open_run[i]) + join
+        for j in range(i + 3, min(n, i + words.longest) + 1):
+            if (rank := words.rank.get(low[i:j])) is not None:
+                best[j] = min(best[j], here + math.log10(rank) + (LOG_SEGMENT if value[i:j] != low[i:j] else 0))
+            elif (rank := words.rank.get(plain[i:j])) is not None:
+                best[j] = min(best[j], here + math.log10(rank) + 2 * LOG_SEGMENT)
+        if value[i].isdigit():
+            for pattern, cost in ((DATE, LOG_DATE), (YEAR, LOG_YEAR)):
+                if m := pattern.match(value, i):
+                    best[m.end()] = min(best[m.end()], here + cost)
+        for width, same in periods:
+            most, unit = same[i] // width + 1, before[min(n, i + width)] - before[i]
+            for t in (*range(3 if width == 1 else 2, min(most, SHORT) + 1), *((most,) if most > SHORT else ())):
+                j = i + t * width
+                best[j] = min(best[j], here + unit + math.log10(t))
+        for ends, least, fixed, each in ((walks, 4, math.log10(40), 0.5 * LOG_SEGMENT), (steps[0], 3, math.log10(20), 0.0), (steps[1], 3, math.log10(20), 0.0)):
+            most = ends[i] + 1
+            for t in (*range(least, min(most, SHORT) + 1), *((most,) if most > SHORT else ())):
+                best[i + t] = min(best[i + t], here + fixed + math.log10(t) + each * (t - 1))
     return min(best[n], open_run[n])
 
 
+#: Learned words: how many at most, and in how many documents each is at least. What stands in a credential context teaches none.
+MOST_WORDS, LEAST_DOCUMENTS = 20_000, 20
+_TAUGHT = r"""(?i)(?:pass\w*|pwd|secret|token|\w*key|auth\w*|credential\w*|login)["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?[^\s"'<>,;]+"""
+
+
+def learn_words(docs: DataFrame, text: str = "text", most: int = MOST_WORDS, least: int = LEAST_DOCUMENTS) -> Words:
+    """The words of the documents (runs of 3 to 20 ASCII letters, lower-cased) by the number of documents that have them.
+
+    All documents count; the driver gets the `most` commonest that are in `least` documents or more. Null and empty texts have
+    no words; of a table without such words, only the fixed ones remain.
+    """
+    each = F.array_distinct(F.split(F.lower(F.regexp_replace(F.col(text), _TAUGHT, " ")), "[^a-z]+"))
+    counted = docs.where(F.col(text).isNotNull()).select(F.explode(each).alias("word")).where(F.length("word").between(3, 20)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return Words([r["word"] for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()])
+
+
 #: log10 of the guesses from which a value in a credential context is a secret: six random characters have more, as a rule.
 LEAST_COST = 7.5
 #: The same for values that read as words (prose, identifiers, paths, placeholders), which COMMON lists only in part.
@@ -108,11 +138,18 @@ WORD = r"(?:(?:[A-Z]?[a-z\x80-\U0010FFFF]{2,}+)++|[A-Z]{2,}+)"
 WORDS = re.compile(rf"[$%(\[{{]*+{WORD}(?:[-._/:()\[\]{{}}]++{WORD})*+[-._/:()\[\]{{}}]*+(?:(?<=\))[sd])?[!?%*]*+")
 
 
+#: Joins the words of names, paths, addresses and placeholders; passphrases are joined by others, or by nothing.
+NAMES = frozenset("._/:$%()[]{}")
+
+
 def is_secret(value: str, cost: float, least_cost: float = LEAST_COST, least_words: float = LEAST_WORDS) -> bool:
-    return cost >= least_cost and (cost >= least_words or not WORDS.fullmatch(value))
+    """By cost; what reads as words needs more, and is none at all if it is a name, a path or a placeholder (process.env.KEY)."""
+    if cost < least_cost or cost < least_words and WORDS.fullmatch(value):
+        return False
+    return NAMES.isdisjoint(value) or not WORDS.fullmatch(value)
 
 
-def scan(text: str | None, least_cost: float, least_words: float = LEAST_WORDS) -> list[tuple[str, int, int, float | None]]:
+def scan(text: str | None, least_cost: float = LEAST_COST, least_words: float = LEAST_WORDS, words: Words = KNOWN) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, log10 guesses) in order of start, then kind; offsets are code points, ends exclusive."""
     if not text:
         return []
@@ -120,7 +157,7 @@ def scan(text: str | None, least_cost: float, least_words: float = LEAST_WORDS)
     if "=" in text or ":" in text:
         found += [(m.start(), 0, m.end(), None) for m in ASSIGN.finditer(text) if len(m[1]) >= LEAST_ASSIGN]
         for m in CONTEXT.finditer(text):
-            if is_secret(m[1], cost := guess_cost(m[1]), least_cost, least_words):
+            if is_secret(m[1], cost := guess_cost(m[1], words), least_cost, least_words):
                 found.append((m.start(1), 3, m.end(1), cost))
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
@@ -131,17 +168,17 @@ def scan(text: str | None, least_cost: float, least_words: float = LEAST_WORDS)
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("log10_guesses", pa.float64())]))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", spans: str = "spans", least_cost: float = LEAST_COST, least_words: float = LEAST_WORDS) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", spans: str = "spans", least_cost: float = LEAST_COST, least_words: float = LEAST_WORDS, words: Words = KNOWN) -> DataFrame:
     """docs with the column `spans`: array of (kind, start, end, log10_guesses), by start, then kind.
 
     kind assign, access and hex are the fixed patterns; guess is a value in a credential context whose cheapest segmentation
     into common words, dates, repeats, keyboard walks and brute-force spans costs 10^least_cost guesses or more, or
-    10^least_words if it reads as words. A null or empty text has no spans; texts are scanned whole. Rows are independent.
+    10^least_words if it reads as words. words: ranks of common words, see learn_words. A null or empty text has no spans; texts are scanned whole. Rows are independent.
     Columns of the new one's name are replaced.
     """
 
     def run(texts: list) -> list:
-        each = [[{"kind": k, "start": a, "end": b, "log10_guesses": c} for k, a, b, c in scan(t, least_cost, least_words)] for t in texts]
+        each = [[{"kind": k, "start": a, "end": b, "log10_guesses": c} for k, a, b, c in scan(t, least_cost, least_words, words)] for t in texts]
         return [pa.array(each, type=SPAN)]
 
     return add_columns(docs, text, [field(spans, "array<struct<kind:string,start:int,end:int,log10_guesses:double>>", False)], lambda: run)
@@ -158,11 +195,11 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_cost: float = LEAST_COST, least_words: float = LEAST_WORDS) -> DataFrame:
+def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least_cost: float = LEAST_COST, least_words: float = LEAST_WORDS, words: Words = KNOWN) -> DataFrame:
     """docs with every span of a secret in the text replaced by the mark; spans that overlap are one. Null stays null."""
 
     def redacted(t: str | None) -> str | None:
-        spans = scan(t, least_cost, least_words)
+        spans = scan(t, least_cost, least_words, words)
         if not spans:
             return t
         out, at, i = [], 0, 0

@@ -80,14 +80,18 @@ def test_records_round_trip(spark, docs):
     records.write_documents(docs, path, JSON_PATH)
     records.write_index(spark, path, f"{path}-index")
     tokenizer = Tokenizer.from_file(JSON_PATH)
-    tokenizer.encode_special_tokens = True
     want, start = [], 0
     for doc_id, text, _ in sorted(map(tuple, docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
         want.append((doc_id, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         start += len(ids)
-    got = sorted(map(tuple, records.placed(records.read_records(spark, path)).collect()), key=lambda r: r[1])
+    got = sorted(map(tuple, records.digests(spark, path, f"{path}-index").collect()), key=lambda r: r[1])
     assert got == want
+    index = spark.read.parquet(f"{path}-index")
+    some = records.read_records(spark, path, index.where("doc_id = 7"), "ordinal").collect()
+    assert [(r.doc_id, bytes(r.ids)) for r in some] == [(7, struct.pack("<2I", *tokenizer.encode("<|endoftext|>", add_special_tokens=False).ids, 0))]
+    with pytest.raises(Exception, match="checksum|outside"):
+        records.read_records(spark, path, index.withColumn("offset", index["offset"] + 1), "ordinal").collect()
     shuffled = [(r.doc_id, len(r.ids) // 4) for r in records.read_shuffled(spark, path, f"{path}-index", seed=5).collect()]
     assert sorted(shuffled, key=str) == sorted(((w[0], w[2]) for w in want), key=str)
     assert shuffled != [(r.doc_id, len(r.ids) // 4) for r in records.read_shuffled(spark, path, f"{path}-index", seed=6).collect()]
@@ -96,7 +100,23 @@ def test_records_round_trip(spark, docs):
 def test_records_of_an_empty_table(spark, docs):
     path = fresh_path(spark, "records")
     records.write_documents(docs.limit(0), path, JSON_PATH)
-    assert records.read_records(spark, path).collect() == []
+    records.write_index(spark, path, f"{path}-index")
+    assert records.digests(spark, path, f"{path}-index").collect() == []
+
+
+def test_starts_follow_the_numbers_of_files(spark):
+    rows = [(f"part-{k:05d}-x-c000.txt", o, k, 0, 0, 10 + o) for k in (99999, 100000, 100001, 2) for o in (0, 1)]
+    got = {(r.doc_id, r.ordinal): r.start for r in records.placed(spark.createDataFrame(rows, records.INDEX)).collect()}
+    assert got == {(2, 0): 0, (2, 1): 10, (99999, 0): 21, (99999, 1): 31, (100000, 0): 42, (100000, 1): 52, (100001, 0): 63, (100001, 1): 73}
+
+
+def test_files_are_even_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(records, "FILE_BYTES", 100_000)
+    rows = [(i, "long text " * 2000 if 400 <= i < 440 else "short") for i in range(2000)] + [(420, "same " * 1000)] * 60
+    path = fresh_path(spark, "records")
+    files = records.write_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, JSON_PATH)
+    loads = [r.n for r in records.scan_records(spark, path).groupBy("file").agg({"n_tokens": "sum"}).toDF("file", "n").collect()]
+    assert files == 12 and len(loads) == 12 and max(loads) < 3 * sum(loads) / len(loads)
 
 
 def test_checksums():
@@ -162,9 +182,18 @@ def test_shards_match_a_plain_ring(spark, shards, slack):
 
 def test_few_keys_move_when_a_shard_is_added(spark):
     docs = spark.createDataFrame([(i, "t") for i in range(2000)], "doc_id long, text string")
-    at = lambda n: {r.doc_id: r.shard for r in sharding.assign_shards(docs, n, slack=0.25).collect()}
+    at = lambda n: {r.doc_id: r.shard for r in sharding.assign_shards(docs, n).collect()}  # noqa: E731  as the query runs
     before, after = at(8), at(9)
-    assert sum(before[k] != after[k] for k in before) < 0.35 * len(before)
+    moved = sum(before[k] != after[k] for k in before) / len(before)
+    assert 1 / 9 - 0.01 < moved < 0.16
+
+
+def test_orders_of_a_ring_are_clockwise():
+    circle = sharding.ring(5, 7)
+    n = len(circle.points)
+    assert circle.points == sorted(circle.points)
+    assert all(circle.orders[i] == list(dict.fromkeys(circle.owners[(i + k) % n] for k in range(n))) for i in range(n))
+    assert len(sharding.ring(128, 128).orders) == 1 << 14
 
 
 def test_shards_of_an_empty_table(spark):
