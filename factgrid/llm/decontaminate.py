@@ -5,6 +5,9 @@ cut into overlapping windows, so many that each stretch of Budget.least_leak cha
 q-gram lemma such a substring shares at least len - q + 1 - q * budget q-grams with the window, and all of them lie on
 diagonals (place in the document minus place in the window) that differ by at most the budget. So hits are counted in bands
 of diagonals that overlap by the budget, and the bands that reach the bound are aligned.
+
+Windows of one text are searched for once. Of q-grams that many windows have, hits are written out only for windows that
+reach the bound by such q-grams alone; any other must share some of its rarer ones, by as many as its common ones fall short.
 """
 
 from __future__ import annotations
@@ -19,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_arrow, pieces, ranges
+from .common import map_arrow, pieces, ranges, stored
 from .pretokens import BASE, INVERSE, LETTER, NUMBER, HashIndex, character_classes, code_points
 
 
 @dataclass(frozen=True)
 class Budget:
-    """Parameters. A window is the whole item where that is shorter; items with fewer than q characters can't leak.
+    """Parameters. A window is the whole item where that is shorter; an item with fewer than q characters is leaked by documents
+    that are equal to it in plain form. common and most_pairs change the work, not the result.
 
     Items of up to two windows are searched for whole, too, as they may have more edits than a window. Of two adjacent
     windows one has at most half of their edits, so a leak of both within the rate shows in one of them.
@@ -37,6 +41,8 @@ class Budget:
     edit_rate: float = 0.05
     band: int = 16
     block_chars: int = 8 << 20  # of benchmark text that is searched for in one pass over the documents
+    common: int = 64  # places in windows from which on a q-gram is common
+    most_pairs: int = 2 << 20  # of hits and windows that are held at a time
 
     @property
     def least_leak(self) -> int:
@@ -99,39 +105,51 @@ def qgram_hashes(cp: np.ndarray, q: int) -> np.ndarray:
 
 
 class WindowIndex:
-    """Windows of benchmark items and the places of their q-grams."""
+    """Windows of benchmark items (each text once) and the places of their q-grams."""
 
     def __init__(self, items: list[tuple[object, str | None]], budget: Budget):
         self.budget = budget
-        self.item: list[int] = []
-        self.text: list[np.ndarray] = []
         cp, bounds, _ = plain([t for _, t in items])
-        self.offset: list[int] = []
+        self.text: list[np.ndarray] = []
+        #: For each window (item, place in the item, whether it is a whole item searched for beside its windows).
+        self.owners: list[list[tuple[int, int, bool]]] = []
+        self.short: dict[bytes, list[int]] = {}
+        number: dict[bytes, int] = {}
         for k in range(len(items)):
             whole = cp[bounds[k] : bounds[k + 1]]
             if len(whole) and whole[-1] == 0x20:
                 whole = whole[:-1]
-            parts = [(a, whole[a : a + budget.window]) for a in budget.starts(len(whole))]
+            if 0 < len(whole) < budget.q:
+                self.short.setdefault(whole.tobytes(), []).append(k)
+                continue
+            parts = [(a, whole[a : a + budget.window], False) for a in budget.starts(len(whole))]
             if budget.window < len(whole) <= 2 * budget.window:
-                parts.append((0, whole))
-            for a, part in parts:
-                if len(part) >= budget.q:
-                    self.item.append(k)
+                parts.append((0, whole, True))
+            for a, part, extra in parts if len(whole) else ():
+                w = number.setdefault(part.tobytes(), len(self.text))
+                if w == len(self.text):
                     self.text.append(part)
-                    self.offset.append(a)
+                    self.owners.append([])
+                self.owners[w].append((k, a, extra))
+        self.length = np.array([len(t) for t in self.text], dtype=np.int64)
+        self.least = np.array([budget.least(n) for n in self.length], dtype=np.int64)
+        self.edits = np.array([budget.edits(n) for n in self.length], dtype=np.int64)
+        self.reach = int(self.length.max(initial=0))
         grams = [qgram_hashes(t, budget.q) for t in self.text]
         keys = np.concatenate([np.empty(0, dtype=np.uint64), *grams])
         window = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.empty(0, dtype=np.int64), *[np.arange(len(g)) for g in grams]]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        distinct, first, count = np.unique(keys[order], return_index=True, return_counts=True)
-        self.window, self.place, self.first, self.count = window[order], place[order], first, count
+        distinct, gram, count = np.unique(keys, return_inverse=True, return_counts=True)
+        often = (count > budget.common)[gram]
+        ordinary = np.bincount(window[often], minlength=len(grams)) < self.least  # those that common q-grams alone don't suffice for
+        self.bound = np.where(ordinary, self.least - np.bincount(window[often], minlength=len(grams)), self.least)
+        keep = ~(often & ordinary[window]) if len(window) else often
+        order = np.flatnonzero(keep)[np.argsort(gram[keep], kind="stable")]
+        self.window, self.place = window[order], place[order]
+        self.count = np.bincount(gram[order], minlength=len(distinct))
+        self.first = np.cumsum(self.count) - self.count
         self.index = HashIndex(max(1, len(distinct)))
         self.index.add(distinct, np.arange(len(distinct), dtype=np.int32))
-        self.length = np.array([len(t) for t in self.text], dtype=np.int64)
-        self.least = np.array([budget.least(n) for n in self.length], dtype=np.int64)
-        self.edits = np.array([budget.edits(n) for n in self.length], dtype=np.int64)
-        self.reach = int(self.length.max(initial=0))
         self.matrix = np.zeros((len(self.text), self.reach), dtype=np.uint32)
         for row, t in zip(self.matrix, self.text, strict=True):
             row[: len(t)] = t
@@ -143,15 +161,43 @@ class WindowIndex:
         item leaks, it stands for its first window.
         """
         cp, bounds, original = plain(texts)
-        if not len(self.text) or len(cp) < self.budget.q:
-            return []
+        out: dict[tuple[int, int, int], tuple[int, int, int]] = {}
+        found = self.best(cp, bounds)
+        for late in (False, True):  # a whole item comes after its windows
+            for (r, w), (d, a, b) in found.items():
+                for item, offset, extra in self.owners[w]:
+                    if extra == late:
+                        out[r, item, offset] = int(original[bounds[r] + a]), int(original[bounds[r] + b - 1]) + 1, d
+        size = np.diff(bounds)
+        for r in np.flatnonzero((size > 0) & (size <= self.budget.q)).tolist() if self.short else ():
+            whole = cp[bounds[r] : bounds[r + 1]]
+            a, b = int(whole[0] == 0x20), len(whole) - int(whole[-1] == 0x20)
+            for item in self.short.get(whole[a:b].tobytes(), ()):
+                out[r, item, 0] = int(original[bounds[r] + a]), int(original[bounds[r] + b - 1]) + 1, 0
+        return sorted(k + v for k, v in out.items())
+
+    def best(self, cp: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """The best alignment (edits, start, end) of each text and window that it leaks."""
         q = self.budget.q
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        if not len(self.text) or len(cp) < q:
+            return found
         hit = self.index.find(qgram_hashes(cp, q))
         at = np.flatnonzero(hit >= 0)
         row = np.searchsorted(bounds, at, side="right") - 1
-        inside = at + q <= bounds[row + 1]
+        inside = (at + q <= bounds[row + 1]) & (self.count[hit[at]] > 0)
         at, row = at[inside], row[inside]
-        gram = hit[at]
+        pairs = np.cumsum(self.count[hit[at]])
+        overlap = self.reach + int(self.edits.max())  # a leak's hits lie within so many places
+        i = 0
+        while i < len(at):
+            stop = int(np.searchsorted(pairs, (pairs[i - 1] if i else 0) + self.budget.most_pairs, side="right"))
+            stop = max(stop, int(np.searchsorted(at, at[i] + 2 * overlap)))
+            self.count_bands(cp, bounds, at[i:stop], row[i:stop], hit[at[i:stop]], found)
+            i = stop if stop == len(at) else int(np.searchsorted(at, at[stop] - overlap))
+        return found
+
+    def count_bands(self, cp: np.ndarray, bounds: np.ndarray, at: np.ndarray, row: np.ndarray, gram: np.ndarray, found: dict[tuple[int, int], tuple[int, int, int]]) -> None:
         n = self.count[gram]
         spot = ranges(self.first[gram], n)
         at, row, window, place = np.repeat(at, n), np.repeat(row, n), self.window[spot], self.place[spot]
@@ -160,25 +206,17 @@ class WindowIndex:
         also = np.flatnonzero((diagonal % self.budget.band < self.edits[window]) & (band > 0))
         row, window, band = (np.concatenate([x, y[also]]) for x, y in ((row, row), (window, window), (band, band - 1)))
         bands = int(np.diff(bounds).max() + 2 * self.reach) // self.budget.band + 2
-        key = (row * len(self.text) + window) * bands + band
-        key, shared = np.unique(key, return_counts=True)
+        key, shared = np.unique((row * len(self.text) + window) * bands + band, return_counts=True)
         window = key // bands % len(self.text)
-        enough = shared >= self.least[window]
+        enough = shared >= self.bound[window]
         key, window = key[enough], window[enough]
-        if not len(key):
-            return []
         row, low = key // bands // len(self.text), key % bands * self.budget.band - self.reach
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for i in range(0, len(key), 4096):
             part = slice(i, i + 4096)
             edits, start, end = self.align(cp, bounds, row[part], window[part], low[part])
-            for r, w, d, a, b in zip(row[part].tolist(), window[part].tolist(), edits.tolist(), start.tolist(), end.tolist(), strict=True):
-                if d <= self.edits[w]:
-                    best[r, w] = min(best.get((r, w), (d, a, b)), (d, a, b))
-        out: dict[tuple[int, int, int], tuple[int, int, int]] = {}
-        for (r, w), (d, a, b) in sorted(best.items()):  # a whole item comes after its windows
-            out[r, self.item[w], self.offset[w]] = int(original[bounds[r] + a]), int(original[bounds[r] + b - 1]) + 1, d
-        return [k + v for k, v in out.items()]
+            for k in np.flatnonzero(edits <= self.edits[window[part]]).tolist():
+                pair, new = (int(row[i + k]), int(window[i + k])), (int(edits[k]), int(start[k]), int(end[k]))
+                found[pair] = min(found.get(pair, new), new)
 
     def align(self, cp: np.ndarray, bounds: np.ndarray, row: np.ndarray, window: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Edits, start and end (in the plain text) of each window's best substring on the band of diagonals from `low`.
@@ -221,16 +259,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     window's place in the plain item), start and end in the document's text (code points, end exclusive), and edits.
 
     An excerpt of budget.least_leak plain characters of an item is always found if it has no more edits than a window may.
-    Null or empty texts and items shorter than q plain characters leak nothing; repeated rows each have their own results.
-    The benchmark is read to the driver in blocks of at most block_chars characters (or one item, if that is longer); each
-    block is a pass over all documents. Other columns are not read. An empty table gives an empty result.
+    Null or empty texts leak nothing, and items without plain characters aren't leaked; repeated rows each have their own
+    results. The benchmark is read to the driver in blocks of at most block_chars characters (or one item, if that is longer),
+    one at a time; each block is a pass over all documents. Where there are several, each one's rows are written to the shared
+    folder before the next is read. Other columns are not read. An empty table gives an empty result.
     """
     schema = LEAK.format(key=dict(docs.dtypes)[key], item=dict(benchmark.dtypes)[item])
     item_type = to_arrow_type(benchmark.schema[item].dataType)
     spark = docs.sparkSession
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
 
-    def search_block(items: list[tuple[object, str | None]]) -> DataFrame:
+    def search_block(items: list[tuple[object, str | None]], last: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,19 +281,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                     ids = pa.array([shared.value[f[1]][0] for f in found], type=item_type)
                     yield pa.RecordBatch.from_arrays([keys, ids, *[pa.array([f[i] for f in found], type=pa.int32()) for i in range(2, 6)]], names=["key", "item", "item_start", "start", "end", "edits"])
 
-        return map_arrow(source, run, schema)
+        rows = map_arrow(source, run, schema)
+        if not last:
+            rows = stored(rows, "leaks")
+            shared.destroy()
+        return rows
 
     found = spark.createDataFrame([], schema)
     block: list[tuple[object, str | None]] = []
     size = 0
     for r in benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("t is not null").toLocalIterator():
         if block and size + len(r["t"]) > budget.block_chars:
-            found = found.unionByName(search_block(block))
+            found = found.unionByName(search_block(block, last=False))
             block, size = [], 0
         block.append((r["i"], r["t"]))
         size += len(r["t"])
     if block:
-        found = found.unionByName(search_block(block))
+        found = found.unionByName(search_block(block, last=True))
     return found.withColumnsRenamed({"key": key, "item": item})
 
 

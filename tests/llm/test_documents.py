@@ -25,8 +25,9 @@ def plain_base(text):
     words = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in (i, i + 1, i + 2)} if len(words) < 400 else None
-    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), None if covered is None else len(covered)
+    often = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if often[w] > 1 for j in (i, i + 1, i + 2)}
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
 ODD = [None, "", " \n\t", "one", "a b c a b c", "x\n\nx\n x\ny", "#*$ | <>&% é\u00a0b\x1cc", "a " * 60, "la " * 5000, "\u2028 word\x85end"]
@@ -35,7 +36,7 @@ ODD = [None, "", " \n\t", "one", "a b c a b c", "x\n\nx\n x\ny", "#*$ | <>&% é\
 def test_base_counts(spark, sf):
     for t in ODD + [r.text for r in table(spark, sf, "documents").collect()]:
         want, got = plain_base(t), quality.base_counts(t)
-        assert got[:4] == want[:4] and (want[4] is None or got[4] == want[4])
+        assert got == want
 
 
 def plain_verdicts(rows, limits=quality.Limits()):
@@ -75,7 +76,7 @@ def plain_verdicts(rows, limits=quality.Limits()):
 
 
 def test_quality_verdicts(spark, sf):
-    rows = [(r.text, r.lang) for r in table(spark, sf, "documents").collect()] + [(t, "en") for t in ODD] + [(ODD[7], None), ("word " * 80, "xx")]
+    rows = [(r.text, r.lang) for r in table(spark, sf, "documents").collect()] + [(t, "en") for t in ODD] + [(ODD[7], None), ("word " * 80, "xx"), ("seven: words " * 40, "a:b\x00c"), (ODD[7], "\x00")]
     docs = spark.createDataFrame([(i, t, x, 1) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string, KEPT int")
     refs = quality.fit_references(docs)
     got = {r.doc_id: r for r in quality.judge(docs, refs).collect()}
@@ -124,6 +125,46 @@ def test_licenses(spark):
     assert licenses.find_licenses(docs.limit(0)).collect() == []
 
 
+def plain_containment(text, template):
+    """The largest share of the template's distinct shingles in any stretch of at most twice their number of shingles."""
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    cut = lambda w: [tuple(w[i : i + licenses.SHINGLE]) for i in range(max(1, len(w) - licenses.SHINGLE + 1))] if w else []
+    have, want = cut(words(text)), set(cut(words(template)))
+    size = 2 * len(want)
+    return max((len(want & set(have[i : i + size])) / len(want) for i in range(max(1, len(have) - size + 1))), default=0)
+
+
+def test_recall_of_edited_templates():
+    """Templates with words changed, at any place, against containment over all places."""
+    rng = random.Random(12)
+    index, texts, want = licenses.TemplateIndex(licenses.TEMPLATES), [], []
+    every = [(name, t) for name, some in licenses.TEMPLATES.items() for t in some]
+    for k in range(400):
+        name, t = every[k % len(every)]
+        words = t.split()
+        for _ in range(rng.randrange(3) if len(words) > 25 else 0):
+            words[rng.randrange(len(words))] = "changed"
+        around = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(60))]
+        cut = rng.randrange(len(around) + 1)
+        texts.append(" ".join([*around[:cut], *words, *around[cut:]]))
+    for i, t in enumerate(texts):
+        want += [(i, name) for name in licenses.TEMPLATES if max(plain_containment(t, x) for x in licenses.TEMPLATES[name]) >= licenses.LEAST_CONTAINMENT]
+    got = {(f[0], f[1]) for f in index.search(texts)}
+    assert got <= set(want) and len(got) >= 0.999 * len(want) and len(want) > 350
+
+
+def test_repeated_parts_of_a_template_take_time_by_their_length():
+    import time
+
+    part = " ".join(licenses.TEMPLATES["MIT"][2].split()[:20]) + " and so on "
+    index, seconds = licenses.TemplateIndex(licenses.TEMPLATES), []
+    for n in (500, 4000):
+        start = time.process_time()
+        index.search([part * n])
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 24 * seconds[0]
+
+
 def test_planted_license_lines_are_all_found(spark):
     lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "All rights reserved.": "Proprietary"}
     rng, rows = random.Random(4), []
@@ -169,8 +210,8 @@ def test_leaks_match_plain_alignment(spark, sf):
         plain = "".join(map(chr, decontaminate.plain([t])[0]))
         for w, part in enumerate(index.text):
             n = plain_edits("".join(map(chr, part)), plain)
-            if n <= index.edits[w]:
-                want[i, bench[index.item[w]][0], index.offset[w]] = n
+            for k, offset, _ in sorted(index.owners[w], key=lambda o: o[2]) if n <= index.edits[w] else ():
+                want[i, bench[k][0], offset] = n
     assert got == want and len(want) > 20
     kept = decontaminate.drop_leaking(docs, decontaminate.find_leaks(docs, items))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {k[0] for k in want}
@@ -209,6 +250,31 @@ def test_short_items_leak_whole():
         text[p] = "9"
     index = decontaminate.WindowIndex([(1, item)], decontaminate.Budget())
     assert [f[2:] for f in index.search(["".join(text)])] == [(0, 0, len(item), 4)]
+    tiny = decontaminate.WindowIndex([(1, "Yes, no."), (2, "?"), (3, "yes no")], decontaminate.Budget())
+    assert tiny.search(["yes no", "  YES no!", "yes no more", None, ""]) == [(0, 0, 0, 0, 6, 0), (0, 2, 0, 0, 6, 0), (1, 0, 0, 2, 8, 0), (1, 2, 0, 2, 8, 0)]
+
+
+def test_shared_wording_of_items():
+    """1,000 items of one preamble, a text of a million characters, and any bounds of the work: the same leaks."""
+    import time
+
+    rng = random.Random(21)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(n))
+    preamble = "choose the best option of those that follow and give the reason for it in one sentence only"
+    items = [(k, f"{preamble} {words(12)}") for k in range(1000)]
+    index = decontaminate.WindowIndex(items, decontaminate.Budget())
+    body = [words(40) for _ in range(400)]
+    for k in (7, 300, 301):
+        body[k] = items[k][1][95:]
+    text = " ".join(body)
+    text += " " + words(max(0, 1_000_000 - len(text)) // 7)
+    start = time.process_time()
+    got = {f[1] for f in index.search([text, f"{preamble} and nothing else {words(200)}"]) if f[0] == 0}
+    assert got == {7, 300, 301} and time.process_time() - start < 120
+    small = items[:40]
+    texts = [f"{words(5)} {t[a : a + 90]} {words(5)}" for _, t in small for a in (0, 40, 95)] + [preamble, preamble * 3]
+    results = [decontaminate.WindowIndex(small, decontaminate.Budget(common=c, most_pairs=m)).search(texts) for c, m in ((64, 1 << 20), (1 << 30, 1 << 30), (0, 50), (3, 1))]
+    assert all(r == results[0] for r in results) and len({f[1] for f in results[0]}) == 40
 
 
 SECRETS = [
@@ -248,28 +314,93 @@ def test_secrets(spark, sf):
     assert secrets.find_secrets(docs.limit(0)).collect() == []
 
 
-def plain_cost(value):
-    """The same segments, all splits: best[i][open] by recursion on places."""
-    n = len(value)
-    low = "".join(c.lower() if c.isascii() else c for c in value)
-    plain = low.translate(secrets.LEET)
-    best = [math.inf] * (n + 1)
-    best[0] = 0.0
+KEYS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+
+
+def near_keys(a, b):
+    place = {c: (r, i) for r, row in enumerate(KEYS) for i, c in enumerate(row)}
+    if a not in place or b not in place:
+        return False
+    (r, i), (q, j) = sorted((place[a], place[b]))
+    return (r == q and abs(i - j) == 1) or (q == r + 1 and j in (i - 1, i))
+
+
+def plain_cost(value, learned=()):
+    """All splits, every piece priced by itself: best[j] over the places i before."""
+    ranks = {w: k for k, w in enumerate(dict.fromkeys([*secrets.COMMON, *learned]), 1)}
+    one = lambda c: 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33) if c.isascii() else 2.0
+    two, n = math.log10(2), len(value)
+    lower = lambda s: "".join(c.lower() if c.isascii() else c for c in s)
+
+    def prices(i, j):
+        s, low = value[i:j], lower(value[i:j])
+        yield sum(map(one, s))
+        if low in ranks:
+            yield math.log10(ranks[low]) + (0 if s == low else two)
+        elif (p := low.translate(str.maketrans("4310$@7!5", "aeiosatis"))) in ranks:
+            yield math.log10(ranks[p]) + 2 * two
+        if re.fullmatch(r"(19|20)\d\d", s):
+            yield math.log10(120)
+        if secrets.DATE.fullmatch(s):
+            yield math.log10(366 * 120)
+        ends = lambda goes_on: len(s) <= 16 or j == n or not goes_on(j)
+        for w in (1, 2, 3, 4):
+            t = len(s) // w
+            if len(s) == t * w and t >= (3 if w == 1 else 2) and s[:w] * t == s and (t <= 16 or not value.startswith(s[:w], j)):
+                yield sum(map(one, s[:w])) + math.log10(t)
+        if len(s) >= 4 and all(map(near_keys, low, low[1:])) and ends(lambda k: near_keys(lower(value[k - 1]), lower(value[k]))):
+            yield math.log10(40) + math.log10(len(s)) + 0.5 * (len(s) - 1) * two
+        for d in (1, -1):
+            if len(s) >= 3 and all(ord(b) - ord(a) == d and b.isalnum() for a, b in zip(s, s[1:])) and ends(lambda k: ord(value[k]) - ord(value[k - 1]) == d and value[k].isalnum()):
+                yield math.log10(20) + math.log10(len(s))
+
+    best = [0.0]
     for j in range(1, n + 1):
-        for i in range(j):
-            join = secrets.LOG_SEGMENT * (i > 0)
-            costs = [sum(map(secrets.brute, value[i:j]))] + [c for e, c in secrets.segments(value, i, low, plain) if e == j]
-            best[j] = min(best[j], best[i] + join + min(costs))
+        best.append(min(best[i] + two * (i > 0) + min(prices(i, j)) for i in range(j)))
     return best[n]
 
 
 def test_guess_costs():
     rng = random.Random(5)
-    parts = ["password", "admin", "2024", "19990412", "qwerty", "aaa", "abab", "xK9", "#", "P@ss", "zxcv", "dcba", "é"]
-    for _ in range(150):
-        value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))
+    parts = ["password", "admin", "2024", "19990412", "qwerty", "aaa", "abab", "xK9", "#", "P@ss", "zxcv", "dcba", "é", "a", "s", "stem", "abcabc", "qwqw", "9876"]
+    values = ["aaadmin", "ssssecret", "aaaadmin2020", "a" * 40 + "dmin", "qw" * 20 + "e", "abcdefghijklmnopqrstuvwxyz0", "20121212", "20122012", "pAssword", "passw0rd"]
+    values += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(150)]
+    for value in values:
         assert abs(secrets.guess_cost(value) - plain_cost(value)) < 1e-9, value
+        assert abs(secrets.guess_cost(value, secrets.Words(("stem", "kay"))) - plain_cost(value, ("stem", "kay"))) < 1e-9, value
     assert secrets.guess_cost("password") < 1 < secrets.guess_cost("xkqzvw") < secrets.guess_cost("xK9#qZ!vw2")
+    assert secrets.guess_cost("ssssecret") < 4 and secrets.guess_cost("aaadmin") < 3.5
+
+
+def test_long_values_take_time_by_their_length():
+    import time
+
+    seconds = []
+    for n in (5_000, 50_000):
+        start = time.process_time()
+        for unit in ("qw", "ab", "a", "12"):
+            assert secrets.guess_cost(unit * (n // len(unit))) < 30
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 25 * seconds[0]
+
+
+def test_words_are_learned_outside_credentials(spark):
+    rows = [(i, f"Staple battery of horse {i}; password=zzqqxx1 login: kkvvjj") for i in range(30)] + [(40, None), (41, ""), (42, "rare " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = secrets.learn_words(docs)
+    assert {"staple", "battery", "horse"} <= set(words.rank) and not {"zzqqxx", "kkvvjj", "rare"} & set(words.rank)
+    assert secrets.guess_cost("staple-battery-horse", words) < secrets.guess_cost("staple-battery-horse") / 2
+    assert secrets.learn_words(docs.limit(0)).rank == secrets.KNOWN.rank
+
+
+def test_names_and_clean_texts_have_no_secrets(spark, sf):
+    for v in ("process.env.STRIPE_API_KEY", "${SECRET_FROM_ENV}", "https://example.com/path/to/page", "config.credentials.production.password"):
+        assert not secrets.scan(f"login: {v} after"), v
+    assert secrets.scan("token: eyJhbGciOi.J9zdWIiOiIx.MjM0NTY3") and secrets.scan("password: kQ7vWm2Zp9x")
+    docs = table(spark, sf, "documents")
+    words = secrets.learn_words(docs)
+    clean = [r.text for r in docs.collect() if r.text and not plain_secrets(r.text)]
+    assert len(clean) > 100 and sum(bool(secrets.scan(t, words=words)) for t in clean) <= 0.01 * len(clean)
 
 
 def test_short_random_values_are_secrets():
@@ -306,19 +437,40 @@ def test_url_rules_and_odd_urls(spark):
     assert [out[i].rule for i in range(14)] == [None, None, None, None, "example.com/en/", "www.example.com/en/", "www.example.com/en/", "com/", None, "net/es/", None, None, None, None]
     assert [out[i].host for i in (0, 1, 2, 3, 4, 8, 12)] == ["", "", "", "", "example.com", "com", "b:"]
     assert out[4].path == "/en/x" and out[12].path == "//c.com/p" and out[8].path == ""
-    assert out[13].verdict == "block" and out[11].verdict == "allow" and out[13].n_outcomes == 80 and out[4].verdict == "block"
+    assert out[13].verdict == "block" and out[11].verdict == "allow" and out[13].n_outcomes == 40 and out[4].verdict == "block"
     assert urls.filter_urls(pages.limit(0), outcomes, urls.RULES).collect() == []
     assert len(urls.filter_urls(pages, outcomes.limit(0), urls.RULES).collect()) == 15
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.github.io",), ("io",), ("",), ("q.zz",)], "host string")
+    known = spark.createDataFrame([("uk",), ("co.uk",), ("github.io",), ("io",)], "suffix string")
+    assert {r.host: (r.suffix, r.domain) for r in urls.with_domains(hosts, known).collect()} == {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.github.io": ("github.io", "x.github.io"), "io": ("io", "io"), "": ("", ""), "q.zz": ("zz", "q.zz")}
     plan = urls.filter_urls(pages, outcomes, urls.RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def code_of(g):
+    return sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+
+
+def plain_grams(text):
+    marked = re.sub("\x01+", "\x01", "\x01" + "".join(c if language.character_classes()[ord(c)] == language.LETTER else "\x01" for c in (text or "").lower()) + "\x01")
+    return Counter(g for n in (1, 2, 3) for i in range(len(marked) - n + 1) if set(g := marked[i : i + n]) - {"\x01"} and "\x01" not in g[1:-1])
+
+
 def test_languages(spark, sf):
     docs = table(spark, sf, "documents").withColumn("held_out", language.held_out())
     profiles = language.learn_profiles(docs.where("not held_out"))
     rows = language.identify(docs.withColumn("SCORE", F.lit("x")).drop("lang"), profiles).join(docs.select("doc_id", F.col("lang")), "doc_id").collect()
     held = [r for r in rows if r.held_out]
     assert held and sum(r.lang == r.lang_pred for r in held) / len(held) >= 0.97 and all(0 <= r.score <= 1 for r in rows)
+    counts: dict = {}
+    for r in docs.where("not held_out and text is not null and lang is not null").collect():
+        counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    ranks = {k: {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], code_of(x[0])))[: language.PROFILE])} for k, c in counts.items()}
+    for r in rows[:60]:
+        top = [g for g, _ in sorted(plain_grams(r.text).items(), key=lambda x: (-x[1], code_of(x[0])))[: language.PROFILE]]
+        away = {k: sum(abs(i - own[g]) if g in own else language.PROFILE for i, g in enumerate(top)) for k, own in ranks.items()}
+        best = min(sorted(away), key=away.get)
+        assert (r.lang_pred, r.score) == ((best, pytest.approx(1 - away[best] / (language.PROFILE * len(top)))) if top else ("und", 0.0))
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !? 34"), (4, "a"), (5, "the " * 30000), (5, "the " * 30000)], "doc_id long, text string")
     found = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(odd, profiles).collect()}
     assert found[1] == found[2] == found[3] == ("und", 0.0) and found[4][0] != "und"
