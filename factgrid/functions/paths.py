@@ -16,7 +16,7 @@ LAYERS = ("ui", "controllers", "service", "repo")
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Names that a tree uses; the defaults are the recommended ones."""
+    """Names that a tree uses. The defaults are the recommended names, and the extensions of assets."""
 
     alias: str = "@/"
     routes: str = "routes"

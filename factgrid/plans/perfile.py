@@ -322,10 +322,10 @@ def prop_count(s: Syntax) -> DataFrame:
 
 
 #: Raw elements and platform primitives that applications compose from their own components.
-RAW = "div span p main section header footer nav aside article ul ol li button a h1 h2 h3 h4 h5 h6 img".split()
-PRIMITIVES = "View Text Pressable TouchableOpacity ScrollView TextInput Image".split()
+RAW = ("div", "span", "p", "main", "section", "header", "footer", "nav", "aside", "article", "ul", "ol", "li", "button", "a", "h1", "h2", "h3", "h4", "h5", "h6", "img")
+PRIMITIVES = ("View", "Text", "Pressable", "TouchableOpacity", "ScrollView", "TextInput", "Image")
 #: Names whose type arguments claim what outside data is.
-DATA_CALLS = "delete execute fetch get gql graphql json parse patch post put query request".split()
+DATA_CALLS = ("delete", "execute", "fetch", "get", "gql", "graphql", "json", "parse", "patch", "post", "put", "query", "request")
 
 
 def _styled(s: Syntax) -> DataFrame:
