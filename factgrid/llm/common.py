@@ -53,12 +53,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder, for the small tables of iterations."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables of one computation in the shared folder, each removed after its last use."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.kept: list[tuple[DataFrame, str]] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """df written and read again."""
+        path = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes these tables; what isn't one of this computation's is left alone."""
+        for df, path in self.kept:
+            if any(df is t for t in tables):
+                delete(self.spark, path)
+        self.kept = [x for x in self.kept if all(x[0] is not t for t in tables)]
+
+    def drop_others(self, *keep: DataFrame) -> None:
+        self.drop(*[df for df, _ in self.kept if all(df is not k for k in keep)])
 
 
 def plain_text(column: str = "text") -> Column:
