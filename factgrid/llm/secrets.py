@@ -114,7 +114,7 @@ def guess_cost(value: str, words: Words = KNOWN) -> float:
 
 #: Learned words: how many at most, and in how many documents each is at least. What stands in a credential context teaches none.
 MOST_WORDS, LEAST_DOCUMENTS = 20_000, 20
-_TAUGHT = r"""(?i)(?:pass\w*|pwd|secret|token|\w*key|auth\w*|credential\w*|login)["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?[^\s"'<>,;]+"""
+_TAUGHT = r"""(?i)(?:pass\w{0,20}|pwd|secret|token|key|auth\w{0,20}|credentials?|login)["']?[ \t]*+(?::=|=>|[:=])[ \t]*+["']?[^\s"'<>,;]++"""  # bounded, so the time follows the length
 
 
 def learn_words(docs: DataFrame, text: str = "text", most: int = MOST_WORDS, least: int = LEAST_DOCUMENTS) -> Words:
