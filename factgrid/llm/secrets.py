@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, field
+from .common import Scratch, add_columns, field
 
 #: The base patterns, with the least length of what they catch.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -122,10 +122,22 @@ def learn_words(docs: DataFrame, text: str = "text", most: int = MOST_WORDS, lea
 
     All documents count; the driver gets the `most` commonest that are in `least` documents or more. Null and empty texts have
     no words; of a table without such words, only the fixed ones remain.
+
+    Words by eighths of a power of two of their number come first, so that tasks send only those that may be among the
+    commonest, not `most` of their own each.
     """
+    scratch = Scratch(docs.sparkSession)
     each = F.array_distinct(F.split(F.lower(F.regexp_replace(F.col(text), _TAUGHT, " ")), "[^a-z]+"))
     counted = docs.where(F.col(text).isNotNull()).select(F.explode(each).alias("word")).where(F.length("word").between(3, 20)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return Words([r["word"] for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()])
+    counted = scratch.stored(counted.where(F.col("n") >= least).withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "words")
+    above, cut = 0, 0
+    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
+        above, cut = above + r["count"], r["level"]
+        if above >= most:
+            break
+    top = [r["word"] for r in counted.where(F.col("level") >= cut).orderBy(F.desc("n"), "word").limit(most).collect()]
+    scratch.drop(counted)
+    return Words(top)
 
 
 #: log10 of the guesses from which a value in a credential context is a secret: six random characters have more, as a rule.

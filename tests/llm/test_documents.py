@@ -393,6 +393,17 @@ def test_words_are_learned_outside_credentials(spark):
     assert secrets.learn_words(docs.limit(0)).rank == secrets.KNOWN.rank
 
 
+def test_commonest_words_are_those_of_a_plain_count(spark):
+    rng = random.Random(5)
+    names = ["".join(rng.choices("bcdfghjk", k=5)) for _ in range(60)]
+    texts = [" ".join(w for i, w in enumerate(names) if rng.random() < 1 / (1 + i / 8)) for _ in range(120)]
+    n = Counter(w for t in texts for w in set(t.split()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (1, 7, 25, 1000):
+        want = sorted((w for w in n if n[w] >= 10), key=lambda w: (-n[w], w))[:most]
+        assert secrets.learn_words(docs, most=most, least=10).rank == secrets.Words(want).rank
+
+
 def test_names_and_clean_texts_have_no_secrets(spark, sf):
     for v in ("process.env.STRIPE_API_KEY", "${SECRET_FROM_ENV}", "https://example.com/path/to/page", "config.credentials.production.password"):
         assert not secrets.scan(f"login: {v} after"), v
