@@ -153,6 +153,14 @@ def binary_array(flat: bytes | memoryview, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int32)), pa.py_buffer(flat)])
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all strings of an Arrow column, one after another, and their bounds; a null one is empty."""
+    column = pc.cast(pc.fill_null(column, ""), pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start+1, ... of every range, one range after another."""
     total = int(lengths.sum())
