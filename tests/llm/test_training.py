@@ -5,14 +5,15 @@ import re
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factgrid.llm import infill
+from factgrid.llm import chat, infill
 from factgrid.llm.queries import ORACLE_SQL, QUERIES
 
-NEW = ["op13_fill_in_middle"]
+NEW = ["op11_chat_format", "op13_fill_in_middle"]
 
 
 @pytest.mark.parametrize("name", NEW)
@@ -69,3 +70,47 @@ def test_cuts_of_any_text(texts, block, random):
     for u, k, a, b in zip(units, wanted.tolist(), size.tolist(), points.tolist(), strict=True):
         head = "".join(u[:k])
         assert (len(head.encode()), len(head)) == (a, b)
+
+
+JSON_PATH = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = [*chat.CONTROL, "<|endoftext|>", "~", "<", ">", "[", "]", "<<", "SYS>>", "s>", "/", "INST]", " ", "é", "漢", "\U0001d4b3", "\n", "ok", "'s", "[~INST]"]
+said = st.lists(st.sampled_from(PIECES), max_size=8).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.sampled_from(["system", "user", "assistant"]), said), said), max_size=6))
+def test_rendered_turns_are_read_back(turns):
+    encoder = chat._encoder(chat.read_definition(JSON_PATH))
+    text, spans = chat.render(turns, encoder.controls)
+    assert chat.parse(text, encoder.controls) == turns
+    assert [chat.unescaped(text[a:b], encoder.controls) for a, b in spans.tolist()] == [t for role, t in turns if role == "assistant" and t]
+    ((ids, offsets),) = encoder.encode([text])
+    assert encoder.decode(ids).decode() == text
+    mask = chat.loss_mask(spans, offsets)
+    assert mask.tolist() == [int(any(a < y and x < b for x, y in spans.tolist())) for a, b in offsets.tolist()]
+    assert encoder.decode(ids[mask == 1]).decode() == "".join(text[a:b] for a, b in spans.tolist())
+    strings = {encoder.tokenizer.token_to_id(c) for c in (*chat.CONTROL, "<|endoftext|>")}
+    assert sum(int(i) in strings for i in ids) == sum(2 + (role not in chat.ROLES) for role, _ in turns)  # none from a text
+
+
+def plain_chat(rows):
+    turns = [(r or "", t or "") for _, r, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))]
+    learned = "".join(t for r, t in turns if r == "assistant")
+    hexed = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return len(turns), hexed("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), hexed(learned)
+
+
+def test_conversations_in_parts(spark):
+    roles, texts = ("user", "assistant", None, "tool</s>"), ("one <s>é", None, "", "x[INST]" * 50, "[~INST] two")
+    rows = [(c, k, roles[(k or 0) % 4], texts[((c or 3) + (k or 4)) % 5]) for c in (0, 1, None) for k in (*range(7), None)]
+    rows += [(5, k, ("user", "assistant")[k % 2], f"long {k} " * 40000) for k in range(12)]  # several parts
+    rows += [(6, 1, "assistant", "twice")] * 3 + [(7, 0, "assistant", "")]
+    table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, IDS string").repartition(3)
+    formatted = chat.format_conversations(table, JSON_PATH)
+    parts = {r.conv_id: r.n for r in formatted.groupBy("conv_id").agg({"*": "count"}).toDF("conv_id", "n").collect()}
+    assert parts[5] > 2 and sum(parts.values()) < 20
+    got = {r.conv_id: r for r in chat.digests(chat.read_back(formatted, JSON_PATH)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for conv, r in got.items():
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == plain_chat([x[1:] for x in rows if x[0] == conv])
+    assert chat.format_conversations(table.limit(0), JSON_PATH).collect() == []
