@@ -96,8 +96,8 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about CHUNK_BYTES of that column; a longer value is a slice of its own."""
+def pieces(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of that column; a longer value is a slice of its own."""
     if not batch.num_rows:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
@@ -105,7 +105,7 @@ def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     at = 0
     while at < len(sizes):
         done = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, side="right")))
+        stop = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
 

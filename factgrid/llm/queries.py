@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, infill, jaccard, language, licenses, quality, records, secrets, sharding, urls
+from . import bpe, chat, decontaminate, infill, jaccard, language, licenses, phrases, quality, records, secrets, sharding, urls
 from .common import fresh_path, table
 
 
@@ -73,10 +73,15 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_conversations(conversations, tokenizer), tokenizer))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language, from the counts of all documents."""
+    return phrases.top_phrases(table(spark, sf_dir, "documents").select("text", "lang"), first=2000)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cut and rearranged; 90 of 100 are rearranged, 20 of 100 of these with the suffix first."""
     return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_license_scan, op4_quality_rules, op5_decontamination, op6_token_records, op7_jaccard_join, op8_secret_scan, op9_url_filter, op10_language_id, op11_chat_format, op13_fill_in_middle)}
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": urls.ORACLE, "op11_chat_format": chat.oracle(), "op13_fill_in_middle": infill.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_license_scan, op4_quality_rules, op5_decontamination, op6_token_records, op7_jaccard_join, op8_secret_scan, op9_url_filter, op10_language_id, op11_chat_format, op12_collocations, op13_fill_in_middle)}
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": urls.ORACLE, "op11_chat_format": chat.oracle(), "op12_collocations": phrases.ORACLE, "op13_fill_in_middle": infill.ORACLE}

@@ -2,18 +2,20 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factgrid.llm import chat, infill
+from factgrid.llm import chat, infill, phrases
 from factgrid.llm.queries import ORACLE_SQL, QUERIES
 
-NEW = ["op11_chat_format", "op13_fill_in_middle"]
+NEW = ["op11_chat_format", "op12_collocations", "op13_fill_in_middle"]
 
 
 @pytest.mark.parametrize("name", NEW)
@@ -114,3 +116,77 @@ def test_conversations_in_parts(spark):
     for conv, r in got.items():
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == plain_chat([x[1:] for x in rows if x[0] == conv])
     assert chat.format_conversations(table.limit(0), JSON_PATH).collect() == []
+
+
+def plain_counts(rows, longest=3):
+    """Counts of the phrases of each language, by a walk over all texts."""
+    counts = Counter()
+    for text, lang in rows:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n-\r]", low):
+            words = re.findall("[^ \t]+", piece)
+            for k in range(1, longest + 1):
+                counts.update((lang or "und", " ".join(words[i : i + k])) for i in range(len(words) - k + 1))
+    return counts
+
+
+def plain_top(rows, least, first):
+    counts = plain_counts(rows)
+    totals = Counter()
+    for (lang, phrase), n in counts.items():
+        totals[lang] += n * (" " not in phrase)
+    good = {k: n for k, n in counts.items() if " " in k[1] and n >= least}
+    out = {}
+    for (lang, phrase), a in good.items():
+        words = phrase.split(" ")
+        around = [x for (g, p), x in good.items() if g == lang and len(p.split(" ")) > len(words) and f" {phrase} " in f" {p} "]
+        if any(100 * x >= 50 * a for x in around):
+            continue
+        cuts = []
+        for k in range(1, len(words)):
+            x, y = counts[lang, " ".join(words[:k])], counts[lang, " ".join(words[k:])]
+            cuts.append((1000000 * a * a // (x * y), k, x, y))
+        score, _, x, y = min(cuts)
+        out.setdefault(lang, []).append((-score, -a, phrase.encode(), (phrase, a, x, y, totals[lang], score)))
+    return {(lang, i + 1, *r[-1]) for lang, rows in out.items() for i, r in enumerate(sorted(rows)[:first])}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.text(alphabet="aAb é\t.\n\x0b,漢\x85\xa0", max_size=40)), st.sampled_from(["en", "und"])), max_size=6))
+def test_phrases_of_any_texts(rows):
+    chunk = phrases.Chunk(pa.array([t for t, _ in rows], pa.string()), [g for _, g in rows])
+    found = Counter()
+    for size in (1, 2, 3):
+        if size > 1:
+            chunk.longer(np.ones(len(chunk.counts), dtype=bool))
+        langs, words = chunk.phrases(np.arange(len(chunk.counts)))
+        found.update(dict(zip(zip(langs.to_pylist(), words.to_pylist(), strict=True), chunk.counts.tolist(), strict=True)))
+    assert found == plain_counts(rows)
+
+
+@pytest.mark.parametrize("shards", [1, 4])
+def test_collocations_match_plain(spark, monkeypatch, shards):
+    monkeypatch.setattr(phrases, "BUFFERED", 50)
+    random = np.random.default_rng(3)
+    pick = lambda n: " ".join(random.choice(["the", "Cat", "sat", "on", "mat", "a", "dog", "x.", "é"], p=[0.3, 0.2, 0.15, 0.1, 0.05, 0.05, 0.05, 0.05, 0.05], size=n))
+    rows = [(pick(int(random.integers(0, 60))), ["en", "fr", None][int(random.integers(3))]) for _ in range(60)]
+    rows += [(None, "en"), ("", "fr"), ("one two  three\tfour", "en")] + [("ties of copies", "en")] * 12 + [("word " * 5000, "de")]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "text string, lang string, PHRASE string").repartition(7)
+    got = {tuple(r) for r in phrases.top_phrases(docs, first=40, shards=shards).collect()}
+    assert got == plain_top(rows, 10, 40) and len(got) > 50
+    assert phrases.top_phrases(docs.limit(0)).collect() == []
+
+
+def test_scores_beyond_64_bits(spark):
+    n = 3 * 10**12
+    counts = spark.createDataFrame([("en", 1, "a", n), ("en", 1, "b", n + 7), ("en", 2, "a b", n - 1), ("en", 0, "", 3 * n)], "lang string, size int, phrase string, n long")
+    (row,) = phrases.score_phrases(counts).collect()
+    assert row.score == 1000000 * (n - 1) ** 2 // (n * (n + 7))
+
+
+def test_filter_has_all_candidates(spark):
+    numbers = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000) & -4
+    known = phrases.Filter(phrases.make_filter(spark.createDataFrame(pa.table({"number": numbers})), 5000))
+    assert known.has(numbers.view(np.uint64)).all()
+    others = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 5000)
+    assert known.has(others.view(np.uint64)).mean() < 0.1
