@@ -23,11 +23,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, Scratch, binary_array, map_arrow, mixed, pieces, ranges, text_bytes
+from .common import Scratch, binary_array, map_arrow, mixed, pieces, ranges, text_bytes
 from .pretokens import PieceStore
 
 #: What ends a piece, and what only parts its words.
 BREAKS, GAPS = b".,;:!?\n\v\f\r", b" \t"
+#: Bytes of text whose words are numbered together; a task's arrays take about 80 times as much.
+CHUNK = 2 << 20
 #: Rows (number, count) that a task adds up before it hands them on.
 BUFFERED = 1 << 21
 #: Bits of the filter of candidates that all tasks get at most (32 MB), and bits for each candidate.
@@ -155,7 +157,7 @@ def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, int]]:
     for batch in batches:
-        for part in pieces(batch, "text", BATCH_BYTES):
+        for part in pieces(batch, "text", CHUNK):
             yield Chunk(part.column("text"), part.column("lang").to_pylist()), part.column("place")[0].as_py()
 
 
