@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import scan
@@ -9,6 +10,11 @@ from ..operators import asof, intervals
 from .catalogue import _table, query
 
 
+def _micros(name: str) -> Column:
+    """Microseconds since 1970; times without a zone are taken in the session's."""
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
 @query("T", r"""
 WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[ \t\n]+|[^ \t\n]+')) AS found, generate_subscripts(regexp_extract_all(text, '[ \t\n]+|[^ \t\n]+'), 1) AS i FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, found, CAST(coalesce(sum(length(found)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p),
@@ -31,7 +37,7 @@ def last_purchase(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
     bought = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("purchase_id"), F.col("value").alias("purchase_value"))
     found = asof.asof_join(events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts"), bought, "ts", "at", ["purchase_id", "purchase_value", "at"], by=["user_id"], tie=["purchase_id"], strict=True)
-    return found.select("event_id", "purchase_id", "purchase_value", (F.unix_micros("ts") - F.unix_micros("at")).alias("micros"))
+    return found.select("event_id", "purchase_id", "purchase_value", (_micros("ts") - _micros("at")).alias("micros"))
 
 
 @query("T", """
@@ -39,7 +45,7 @@ WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t FROM events), o AS (SE
 SELECT purchase_id, count(*) AS n, min(event_id) AS first_event, max(e.t) - min(e.t) AS spread FROM e JOIN o ON e.t >= o.t - 300000000 AND e.t + 60000000 <= o.t + 300000000 GROUP BY purchase_id""")
 def purchase_surroundings(spark, sf_dir):
     """Events (a minute each) within five minutes around a purchase, whoever's they are: ranges in ranges, without a key."""
-    events = _table(spark, sf_dir, "events").select("event_id", "event_type", F.unix_micros("ts").alias("t"))
+    events = _table(spark, sf_dir, "events").select("event_id", "event_type", _micros("ts").alias("t"))
     outer = events.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), (F.col("t") - 300_000_000).alias("outer_start"), (F.col("t") + 300_000_000).alias("outer_end"))
     inner = events.select("event_id", F.col("t").alias("start"), (F.col("t") + 60_000_000).alias("end"))
     pairs = intervals.contained(inner, outer)
