@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -21,18 +21,25 @@ from pyspark.sql.pandas.types import to_arrow_type
 TASK_EDGES = 1_000_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or a local one in local mode."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        path = tempfile.mkdtemp(prefix="factgrid-graph-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names, or a local one in local mode."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if path is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            path = tempfile.mkdtemp(prefix="factgrid-graph-")
-        sc.setCheckpointDir(path)
+    """A checkpoint in the shared folder. Files stay there until the folder's owner clears it, or Spark's cleaner does where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    path = shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(path)
     return df.checkpoint()
 
 

@@ -16,7 +16,7 @@ from ..functions.paths import Tree
 from ..sources import tokens, tree
 from . import derive
 from . import facts as jsons
-from . import links, markup, positions  # noqa: F401  they add their queries
+from . import links, markup, positions, reports  # noqa: F401  they add their queries
 from . import perfile, policy, runner, structural, types
 from .catalogue import ORACLE_SQL, QUERIES, _values, query
 
