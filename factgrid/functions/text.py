@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,11 +32,10 @@ def identifier_words(name: Column) -> Column:
 
 
 def rendered(template: str, values: dict[str, Column]) -> Column:
-    """The template with {{key}} replaced by the values; unknown keys stay."""
-    out = F.lit(template)
-    for key, value in values.items():
-        out = F.replace(out, F.lit("{{" + key + "}}"), F.coalesce(value.cast("string"), F.lit("")))
-    return out
+    """The template with {{key}} replaced by the values, in one pass: what a value brings in stays as it is, as do unknown keys."""
+    parts = re.split(r"(\{\{\w+\}\})", template)
+    known = {"{{" + key + "}}": F.coalesce(value.cast("string"), F.lit("")) for key, value in values.items()}
+    return F.concat(*[known.get(part, F.lit(part)) for part in parts])
 
 
 def ratchet(words: Column, slack: float = 1.05) -> Column:

@@ -258,8 +258,11 @@ def strongly_connected(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFr
     A node without a cycle is its own component; repeated edges, self edges and edges of a null node have no effect, but a node
     of a self edge alone isn't listed. Up to task_edges edges are solved by one task; more are contracted in blocks of half as
     many, first of neighbouring nodes, then, where that leaves most edges, of linked ones. What doesn't shrink either way is
-    split by colours. Checkpoints stay in the checkpoint folder until its owner or Spark's cleaner removes them.
+    split by colours. Nodes are numbers, strings or structs of them without nulls. Checkpoints stay in the checkpoint folder until its owner or Spark's cleaner removes them.
     """
+    kind = edges.schema["a"].dataType
+    if isinstance(kind, T.StructType):  # blocks work with plain values
+        edges = edges.select(*[F.when(F.col(c).isNotNull(), F.to_json(c)).alias(c) for c in ("a", "b")])
     edges = cut(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
     rounds: list[DataFrame] = []
     n, by_range, turn = edges.count(), True, 0
@@ -280,6 +283,8 @@ def strongly_connected(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFr
         found = rest.select(F.col("a").alias("node"), F.col("b").alias("component"))  # none are left
     for rows in reversed(rounds):
         found = _undone(rows, found)
+    if isinstance(kind, T.StructType):
+        found = found.withColumn("node", F.from_json("node", kind))
     least = found.groupBy("component").agg(F.min("node").alias("least"))
     return found.join(least, "component").select("node", F.col("least").alias("component"))
 

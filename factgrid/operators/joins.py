@@ -20,11 +20,6 @@ def longest_prefix(rows: DataFrame, path: str, prefixes: DataFrame, prefix: str)
     return rows.join(best, path, "left").select(*rows.columns, "__best.*")
 
 
-def contained(inner: DataFrame, outer: DataFrame, key: str | list[str], start: str = "start", end: str = "end", outer_start: str = "outer_start", outer_end: str = "outer_end") -> DataFrame:
-    """Pairs of ranges, the inner within the outer, of one key: an equality join with the bounds as its condition."""
-    return inner.join(outer, key).where((F.col(start) >= F.col(outer_start)) & (F.col(end) <= F.col(outer_end)))
-
-
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of left without a partner."""
     return left.join(right, keys, "left_anti")

@@ -321,8 +321,8 @@ e AS (SELECT *, {_profile('ss')} AS profile, {_area('ts')} AS area, {_name('ss',
   ends_with(ss, '.server') OR coalesce({_profile('ss')} IN ('infrastructure', 'feature-controllers', 'feature-repo', 'feature-service'), false) AS server, regexp_matches(ss, '^(features|domains)/[^/]+/index$') AS client_barrel FROM raw),
 rank(layer, k) AS (VALUES ('ui', 1), ('controllers', 2), ('service', 3), ('repo', 4)),
 files(tree_root, path) AS ({_values(IMPORT_FILES)}),
-verdicts AS (SELECT *, CASE WHEN profile IS NULL THEN 'unclassified-source' WHEN area IS NULL THEN 'unclassified-target' WHEN package IS NULL AND target_unit = source_unit THEN 'internal' WHEN profile = 'domain' AND NOT type_only AND area NOT IN ('domain', 'shared') THEN 'impure-domain' WHEN surface = '-' THEN 'denied-direction'
-    WHEN surface = 'A' OR ts IN (target_unit, target_unit || '/index', target_unit || '/index.server') OR surface = 'U' AND starts_with(ts, target_unit || '/ui') THEN 'allowed' WHEN package IS NOT NULL AND surface = 'B' THEN 'allowed' ELSE 'denied-exposure' END AS verdict
+verdicts AS (SELECT *, CASE WHEN profile IS NULL THEN 'unclassified-source' WHEN area IS NULL THEN 'unclassified-target' WHEN package IS NULL AND target_unit = source_unit THEN 'internal' WHEN profile = 'domain' AND NOT type_only AND area NOT IN ('domain', 'shared') THEN 'impure-domain' WHEN surface = 'deny' THEN 'denied-direction'
+    WHEN surface = 'any' OR ts IN (target_unit, target_unit || '/index', target_unit || '/index.server') OR surface = 'barrel-or-ui' AND starts_with(ts, target_unit || '/ui') THEN 'allowed' WHEN package IS NOT NULL AND surface = 'barrel' THEN 'allowed' ELSE 'denied-exposure' END AS verdict
   FROM (SELECT e.*, {_unit('ss')} AS source_unit, coalesce(package, {_unit('ts')}) AS target_unit, surface FROM e LEFT JOIN ({_values(policy.ROWS)}) p(p_profile, p_area, surface) ON p_profile = profile AND p_area = area))"""
 _DB = "(ts = 'infrastructure/db' OR starts_with(ts, 'infrastructure/db/'))"
 IMPORT_RULES = {

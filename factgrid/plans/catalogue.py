@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import graph, joins
+from ..operators import graph, intervals, joins
 from . import policy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,9 +165,10 @@ WITH o AS (SELECT user_id, event_id AS outer_id, ts AS outer_start, ts + INTERVA
 SELECT outer_id, count(*) AS n FROM events e JOIN o ON e.user_id = o.user_id AND e.ts >= outer_start AND e.ts + INTERVAL 1 MINUTE <= outer_end GROUP BY outer_id""")
 def range_containment(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
-    outer = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("outer_id"), F.col("ts").alias("outer_start"), F.expr("ts + interval 6 hours").alias("outer_end"))
-    inner = events.select("user_id", F.col("ts").alias("start"), F.expr("ts + interval 1 minute").alias("end"))
-    return joins.contained(inner, outer, "user_id").groupBy("outer_id").agg(F.count(F.lit(1)).alias("n"))
+    events = events.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    outer = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("outer_id"), F.col("at").alias("outer_start"), (F.col("at") + 6 * 3_600_000_000).alias("outer_end"))
+    inner = events.select("user_id", F.col("at").alias("start"), (F.col("at") + 60_000_000).alias("end"))
+    return intervals.contained(inner, outer, ["user_id"]).groupBy("outer_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 OWNED = [("example.com", "root"), ("example.com/en", "english"), ("example.com/en/1", "first"), ("example.net/fr", "french"), ("example.net", "net")]
@@ -251,8 +252,8 @@ c AS (SELECT *, CASE WHEN {_LEN('s')} = 1 THEN 'source-root' WHEN {_SEG('s', 1)}
   WHEN starts_with(t, 'shared/ui/') THEN 'shared-ui' WHEN {_SEG('t', 1)} = 'shared' THEN 'shared' END AS area, {_UNIT('s')} AS source_unit, coalesce(package, {_UNIT('t')}) AS unit FROM e),
 m AS (SELECT c.*, surface FROM c LEFT JOIN ({_values(policy.ROWS)}) p(p_profile, p_area, surface) ON p_profile = profile AND p_area = area)
 SELECT source_path, coalesce(target_path, package) AS target, type_only, CASE WHEN profile IS NULL THEN 'unclassified-source' WHEN area IS NULL THEN 'unclassified-target' WHEN package IS NULL AND unit = source_unit THEN 'internal'
-  WHEN profile = 'domain' AND NOT type_only AND area NOT IN ('domain', 'shared') THEN 'impure-domain' WHEN surface = '-' THEN 'denied-direction'
-  WHEN surface = 'A' OR t IN (unit, unit || '/index', unit || '/index.server') OR (surface = 'U' AND (t = unit || '/ui' OR starts_with(t, unit || '/ui/'))) THEN 'allowed' ELSE 'denied-exposure' END AS verdict FROM m""")
+  WHEN profile = 'domain' AND NOT type_only AND area NOT IN ('domain', 'shared') THEN 'impure-domain' WHEN surface = 'deny' THEN 'denied-direction'
+  WHEN surface = 'any' OR t IN (unit, unit || '/index', unit || '/index.server') OR (surface = 'barrel-or-ui' AND (t = unit || '/ui' OR starts_with(t, unit || '/ui/'))) THEN 'allowed' ELSE 'denied-exposure' END AS verdict FROM m""")
 def policy_lookup(spark, sf_dir):
     edges = spark.createDataFrame(POLICY_EDGES, "source_path string, target_path string, package string, type_only boolean")
     return policy.verdicts(edges).select("source_path", F.coalesce("target_path", "package").alias("target"), "type_only", "verdict")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, nesting
 
 #: Nodes that stand for the expression within them.
 TRANSPARENT = ("TSAsExpression", "TSNonNullExpression", "TSSatisfiesExpression", "ParenthesizedExpression", "ChainExpression")
@@ -52,10 +52,10 @@ def statement_gaps(nodes: DataFrame) -> DataFrame:
     statements = nodes.where(F.col("type").rlike("(?:Statement|Declaration)$") & (F.col("type") != "BlockStatement"))
     order = Window.partitionBy("file", "parent_id").orderBy("start")
     parents = nodes.select("file", F.col("node_id").alias("parent_id"), F.col("start").alias("parent_start"))
-    gaps = statements.join(parents, ["file", "parent_id"], "left").select("file", F.col("start").alias("from"), F.col("end").alias("to"), F.coalesce(F.lag("end").over(order), "parent_start", F.lit(0)).alias("gap"))
+    gaps = statements.join(parents, ["file", "parent_id"], "left").select("file", "node_id", "start", "end", F.coalesce(F.lag("end").over(order), "parent_start", F.lit(0)).alias("gap"))
     casts = nodes.where("type = 'TSAsExpression'").select("file", "node_id", "start", "end")
-    inside = casts.join(gaps, "file").where(F.col("start") >= F.col("from")).where(F.col("end") <= F.col("to"))
-    return inside.groupBy(*PLACE).agg(F.max_by("gap", F.struct("from", -F.col("to"))).alias("statement_gap"))
+    inside = nesting.around(casts, gaps, ["file"], carry=["gap"]).where("depth > 0")
+    return inside.select(*PLACE, F.col("outer_gap").alias("statement_gap"))
 
 
 def states(nodes: DataFrame, callee: DataFrame) -> DataFrame:
@@ -69,8 +69,9 @@ def states(nodes: DataFrame, callee: DataFrame) -> DataFrame:
 
 
 def _within_some(nodes: DataFrame, outer: DataFrame) -> DataFrame:
-    o = outer.select("file", F.col("node_id").alias("outer_id"), F.col("start").alias("from"), F.col("end").alias("to"))
-    return nodes.join(o, "file").where((F.col("start") >= F.col("from")) & (F.col("end") <= F.col("to")) & (F.col("node_id") != F.col("outer_id"))).select(*PLACE).distinct()
+    """(file, node_id) of nodes that lie in some node of outer."""
+    place = ["file", "node_id", "start", "end"]
+    return nesting.around(nodes.select(place), outer.select(place), ["file"]).where("depth > 0").select(*PLACE).distinct()
 
 
 def derived(nodes: DataFrame, scopes: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions.paths import Vocabulary
-from ..operators import graph
+from ..operators import graph, lattice, nesting
 from . import policy
 from .structural import Facts
 
@@ -149,21 +149,14 @@ def _calls(s: Syntax) -> DataFrame:
     return s.ast.where("type = 'CallExpression'")
 
 
-def _within(inner: DataFrame, outer: DataFrame, strict: bool = True) -> DataFrame:
-    """inner rows with outer_id, outer_start and outer_end of each node of outer around them."""
-    o = outer.select("file", F.col("node_id").alias("outer_id"), F.col("start").alias("outer_start"), F.col("end").alias("outer_end"), F.col("name").alias("outer_name"))
-    pairs = inner.join(o, "file").where("start >= outer_start and end <= outer_end")
-    return pairs.where("node_id <> outer_id") if strict else pairs
-
-
 def _inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """inner rows that lie in some node of outer."""
-    return _within(inner, outer).dropDuplicates(["file", "node_id"])
+    return nesting.around(inner, outer, ["file"]).where("depth > 0").select(inner.columns).dropDuplicates(["file", "node_id"])
 
 
 def _holding(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """(file, outer_id) of outer nodes with some inner row within."""
-    return _within(inner, outer).select("file", F.col("outer_id").alias("node_id")).distinct()
+    """(file, node_id) of outer nodes with some inner row within."""
+    return nesting.held(outer.select("file", "node_id", "start", "end"), inner.select("file", "node_id", "start", "end"), ["file"]).where("inside > 0").select("file", "node_id").distinct()
 
 
 def _children(s: Syntax, parents: DataFrame, roles: tuple[str, ...]) -> DataFrame:
@@ -210,8 +203,8 @@ def no_nested_ternary(s: Syntax) -> DataFrame:
     """Conditionals below more than the limit of others, counting those in whose branches they lie (not in whose tests)."""
     conditional = s.ast.where("type = 'ConditionalExpression'")
     branches = s.ast.where("role in ('consequent', 'alternate')").join(conditional.select("file", F.col("node_id").alias("parent_id")), ["file", "parent_id"], "left_semi")
-    depth = _within(conditional, branches, strict=False).groupBy("file", "node_id", "start").agg(F.count(F.lit(1)).alias("n"))
-    return found(depth.where(F.col("n") > s.limits["ternary"] - 1), "conditionals nest too deep")
+    nested = nesting.around(conditional.select("file", "node_id", "start", "end"), branches.select("file", "node_id", "start", "end"), ["file"], strict=False)
+    return found(nested.where(F.col("depth") > s.limits["ternary"] - 1), "conditionals nest too deep")
 
 
 #: Words that say nothing of what a symbol is for.
@@ -285,9 +278,9 @@ def _components(s: Syntax) -> DataFrame:
 
 @rule("react/hook-count")
 def hook_count(s: Syntax) -> DataFrame:
-    hooks = _within(_calls(s).where(F.col("name").rlike("^use[A-Z]")), _components(s))
-    n = hooks.groupBy("file", "outer_id", "outer_name", F.col("outer_start").alias("at")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= s.limits["hooks"])
-    return found(n.withColumnRenamed("at", "start"), text.rendered("{{c}} calls {{n}} hooks", {"c": F.col("outer_name"), "n": F.col("n")}))
+    hooks = _calls(s).where(F.col("name").rlike("^use[A-Z]")).select("file", "node_id", "start", "end")
+    n = nesting.held(_components(s).select("file", "node_id", "start", "end", "name"), hooks, ["file"]).where(F.col("inside") >= s.limits["hooks"])
+    return found(n, text.rendered("{{c}} calls {{n}} hooks", {"c": F.col("name"), "n": F.col("inside")}))
 
 
 @rule("react/single-component-export")
@@ -299,26 +292,40 @@ def single_component_export(s: Syntax) -> DataFrame:
     return found(own.withColumn("n", F.row_number().over(w)).where("n = 2").join(names, "file"), text.rendered("more than one component is exported: {{n}}", {"n": F.col("names")}))
 
 
-#: Types in a row that references are followed through; more are an error of the facts.
-MOST_TYPES = 10_000
-
-
 @rule("react/prop-count")
 def prop_count(s: Syntax) -> DataFrame:
     """Distinct props but children of a component's props type and of all types that it names, extends or joins, in its file.
 
-    References (TSTypeReference with role heritage, intersection or aliased) are followed until no new type is met, so rings end.
+    References (TSTypeReference with role heritage, intersection or aliased) are followed to a fixpoint. The count is a floor
+    where some of the type couldn't be read: a base that the file doesn't declare, a ring of bases, a prop without a name, an
+    index signature, or another kind of type in a base's place. A base of which nothing could be read is named itself.
     """
     declared = s.ast.where("type in ('TSTypeLiteral', 'TSInterfaceDeclaration', 'TSTypeAliasDeclaration') and name is not null")
-    node = lambda name: F.struct("file", F.col(name).alias("name"))
-    props = _within(s.ast.where("role = 'prop' and name <> 'children'"), declared).select(node("outer_name").alias("node"), "name").distinct()
-    names = _within(s.ast.where("type = 'TSTypeReference' and role in ('heritage', 'intersection', 'aliased')"), declared)
-    edges = names.select(node("outer_name").alias("a"), node("name").alias("b")).distinct()
-    heads = declared.where("attrs['props'] = 'true'").where(paths.is_component(F.col("file")))
-    reached = graph.bounded_reach(edges, heads.select(node("name").alias("node")), MOST_TYPES)
-    n = reached.join(props, "node").groupBy("start").agg(F.count_distinct("name").alias("n"))
-    n = heads.select("file", F.col("start").alias("at"), node("name").alias("head")).join(n.withColumnRenamed("start", "head"), "head")
-    return found(n.where(F.col("n") >= s.limits["props"]).withColumnRenamed("at", "start"), text.rendered("{{n}} props", {"n": F.col("n")}))
+    node = lambda name: F.concat_ws("\u0000", "file", F.col(name))
+    parts = s.ast.where("role in ('prop', 'heritage', 'intersection', 'aliased') or type = 'TSIndexSignature'").select("file", "node_id", "start", "end", "name", "type", "role")
+    within = nesting.around(parts, declared.select("file", "node_id", "start", "end", "name"), ["file"], carry=["name"]).where("depth > 0").withColumn("node", node("outer_name"))
+    reference = F.col("role").isin("heritage", "intersection", "aliased")
+    base = reference & (F.col("type") == "TSTypeReference") & F.col("name").isNotNull()
+    plain = F.col("type").isin("TSTypeLiteral", "TSIntersectionType")  # their own parts are met by themselves
+    edges = graph.cut(within.where(base).select(F.col("node").alias("a"), node("name").alias("b"), "name").distinct())
+    known = declared.select(node("name").alias("node")).distinct()
+    away = edges.join(known.withColumnRenamed("node", "b"), "b", "left_anti").select(F.col("a").alias("node"), "name")
+    rings = graph.cycles(edges).select("node").union(edges.where("a = b").select("a"))
+    unread = within.where((reference & ~base & ~plain) | ((F.col("role") == "prop") & F.col("name").isNull()) | (F.col("type") == "TSIndexSignature")).select("node")
+    floors = away.select("node").union(rings).union(unread).distinct().withColumn("complete", F.lit(False))
+    names = within.where("role = 'prop' and name <> 'children'").groupBy("node").agg(F.collect_set("name").alias("names"))
+    own = known.join(names, "node", "left").join(floors, "node", "left").select("node", "names", F.coalesce("complete", F.lit(True)).alias("complete"))
+    read = graph.cut(lattice.fixpoint(edges.join(known.withColumnRenamed("node", "b"), "b", "left_semi"), own, {"names": lattice.UNION, "complete": lattice.AND}))
+    # bases that couldn't be read, each by the name of the type of which nothing is known
+    empty = read.where("not complete and size(names) = 0").select("node")
+    blame = empty.select("node", F.array(F.element_at(F.split("node", "\u0000"), 2)).alias("bases"))
+    blame = blame.unionByName(away.join(empty, "node", "left_anti").groupBy("node").agg(F.collect_set("name").alias("bases")))
+    blamed = lattice.fixpoint(edges.join(empty.withColumnRenamed("node", "a"), "a", "left_anti").select("a", "b"), blame, {"bases": lattice.UNION})
+    heads = declared.where("attrs['props'] = 'true'").where(paths.is_component(F.col("file"))).select("file", "start", node("name").alias("node"))
+    out = heads.join(read, "node").join(blamed, "node", "left").withColumn("n", F.size("names")).where(F.col("n") >= s.limits["props"])
+    values = {"n": F.col("n"), "b": F.array_join("bases", ", ")}
+    floor = F.when(F.size("bases") > 0, text.rendered("at least {{n}} props, as {{b}} can't be read in this file", values)).otherwise(text.rendered("at least {{n}} props, as part of their type has no names", values))
+    return found(out, F.when(F.col("complete"), text.rendered("{{n}} props", values)).otherwise(floor))
 
 
 #: Raw elements and platform primitives that applications compose from their own components.
@@ -426,7 +433,12 @@ def ambient_globals(s: Syntax) -> DataFrame:
     path = F.col("attrs")["path"]
     kind = F.when(path.rlike("^(?:process\\.env|import\\.meta\\.env)(?:\\.|$)"), "env").when(path.rlike("^fetch(?:\\.|$)"), "api-client").when(path.rlike("^localStorage(?:\\.|$)"), "browser-storage")
     own = F.when(F.col("kind") == "env", paths.stem(F.col("source_path")).isin(*[n for n, _ in v.env_modules])).otherwise(paths.stem(F.col("source_path")) == F.concat(F.lit(f"{v.infrastructure}/"), "kind"))
-    reads = s.ast.where("coalesce(attrs['shadowed'], '') <> 'true'").withColumn("kind", kind).where("kind is not null")
+    free = s.ast.where("coalesce(attrs['shadowed'], '') <> 'true'")
+    reads = free.withColumn("kind", kind).where("kind is not null")
+    # const { env } = process reads process.env: the members that a pattern takes of what it is bound to
+    patterns = s.ast.where("type = 'ObjectPattern' and role = 'id'").select("file", "parent_id", F.explode(F.split(F.col("attrs")["keys"], ",")).alias("key"))
+    taken = free.where("role = 'init' and attrs['path'] is not null").join(patterns, ["file", "parent_id"]).withColumn("attrs", F.create_map(F.lit("path"), F.concat_ws(".", F.col("attrs")["path"], "key"))).drop("key")
+    reads = reads.unionByName(taken.select(*free.columns).withColumn("kind", kind).where("kind is not null").select(*reads.columns))
     return found(reads.where(~own).dropDuplicates(["file", "start"]), text.rendered("{{p}} is read outside its module", {"p": F.col("attrs")["path"]}))
 
 

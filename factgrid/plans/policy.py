@@ -8,28 +8,159 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.paths import Vocabulary
 
-#: What each profile may import from each area. A any, - nothing, B the barrel only, U the barrel or the ui folder.
-AREAS = ("route", "feature", "domain", "infrastructure", "shared", "shared-ui", "env-server", "env-client", "source-root", "package")
+#: What each profile may import from each area: any file, nothing (deny), its barrel, or its barrel and its ui folder.
 MATRIX = {
-    "route": "A U - A A A - A - A",
-    "feature-barrel": "- - - - - - - - - -",
-    "feature-root": "- B B - A - - - - A",
-    "feature-ui": "- B - A A A - A - A",
-    "feature-controllers": "- B B A A - A A - A",
-    "feature-service": "- B B - A - - - - A",
-    "feature-repo": "- - - A A - - - - A",
-    "domain": "- - B - A - - - - A",
-    "infrastructure": "- - - A A - A A - A",
-    "shared": "- - - - A - - A - A",
-    "shared-ui": "- - - - A A - A - A",
-    "source-root": "A - - A A A A A A A",
+    "route": {
+        "route": "any",
+        "feature": "barrel-or-ui",
+        "domain": "deny",
+        "infrastructure": "any",
+        "shared": "any",
+        "shared-ui": "any",
+        "env-server": "deny",
+        "env-client": "any",
+        "source-root": "deny",
+        "package": "any",
+    },
+    "feature-barrel": {
+        "route": "deny",
+        "feature": "deny",
+        "domain": "deny",
+        "infrastructure": "deny",
+        "shared": "deny",
+        "shared-ui": "deny",
+        "env-server": "deny",
+        "env-client": "deny",
+        "source-root": "deny",
+        "package": "deny",
+    },
+    "feature-root": {
+        "route": "deny",
+        "feature": "barrel",
+        "domain": "barrel",
+        "infrastructure": "deny",
+        "shared": "any",
+        "shared-ui": "deny",
+        "env-server": "deny",
+        "env-client": "deny",
+        "source-root": "deny",
+        "package": "any",
+    },
+    "feature-ui": {
+        "route": "deny",
+        "feature": "barrel",
+        "domain": "deny",
+        "infrastructure": "any",
+        "shared": "any",
+        "shared-ui": "any",
+        "env-server": "deny",
+        "env-client": "any",
+        "source-root": "deny",
+        "package": "any",
+    },
+    "feature-controllers": {
+        "route": "deny",
+        "feature": "barrel",
+        "domain": "barrel",
+        "infrastructure": "any",
+        "shared": "any",
+        "shared-ui": "deny",
+        "env-server": "any",
+        "env-client": "any",
+        "source-root": "deny",
+        "package": "any",
+    },
+    "feature-service": {
+        "route": "deny",
+        "feature": "barrel",
+        "domain": "barrel",
+        "infrastructure": "deny",
+        "shared": "any",
+        "shared-ui": "deny",
+        "env-server": "deny",
+        "env-client": "deny",
+        "source-root": "deny",
+        "package": "any",
+    },
+    "feature-repo": {
+        "route": "deny",
+        "feature": "deny",
+        "domain": "deny",
+        "infrastructure": "any",
+        "shared": "any",
+        "shared-ui": "deny",
+        "env-server": "deny",
+        "env-client": "deny",
+        "source-root": "deny",
+        "package": "any",
+    },
+    "domain": {
+        "route": "deny",
+        "feature": "deny",
+        "domain": "barrel",
+        "infrastructure": "deny",
+        "shared": "any",
+        "shared-ui": "deny",
+        "env-server": "deny",
+        "env-client": "deny",
+        "source-root": "deny",
+        "package": "any",
+    },
+    "infrastructure": {
+        "route": "deny",
+        "feature": "deny",
+        "domain": "deny",
+        "infrastructure": "any",
+        "shared": "any",
+        "shared-ui": "deny",
+        "env-server": "any",
+        "env-client": "any",
+        "source-root": "deny",
+        "package": "any",
+    },
+    "shared": {
+        "route": "deny",
+        "feature": "deny",
+        "domain": "deny",
+        "infrastructure": "deny",
+        "shared": "any",
+        "shared-ui": "deny",
+        "env-server": "deny",
+        "env-client": "any",
+        "source-root": "deny",
+        "package": "any",
+    },
+    "shared-ui": {
+        "route": "deny",
+        "feature": "deny",
+        "domain": "deny",
+        "infrastructure": "deny",
+        "shared": "any",
+        "shared-ui": "any",
+        "env-server": "deny",
+        "env-client": "any",
+        "source-root": "deny",
+        "package": "any",
+    },
+    "source-root": {
+        "route": "any",
+        "feature": "deny",
+        "domain": "deny",
+        "infrastructure": "any",
+        "shared": "any",
+        "shared-ui": "any",
+        "env-server": "any",
+        "env-client": "any",
+        "source-root": "any",
+        "package": "any",
+    },
 }
 #: Packages that only their owners import.
 OWNERS = {"stripe": "infrastructure/payments", "better-auth": "infrastructure/auth", "@sentry/node": "infrastructure/monitoring", "@loops-so/loops-js": "infrastructure/email", "posthog-node": "infrastructure/analytics"}
 #: Areas that a domain may import at run time.
 PURE = ("domain", "shared")
 
-ROWS = [(p, a, s) for p, row in MATRIX.items() for a, s in zip(AREAS, row.split(), strict=True)]
+ROWS = [(profile, area, surface) for profile, row in MATRIX.items() for area, surface in row.items()]
 
 
 def policy_table(spark: SparkSession) -> DataFrame:
@@ -40,7 +171,7 @@ def policy_table(spark: SparkSession) -> DataFrame:
 def admits(surface: Column, unit: Column, path: Column, v: Vocabulary = Vocabulary()) -> Column:
     bare = paths.stem(path)
     barrel = bare.isin("") | (bare == unit) | (bare == F.concat_ws("/", unit, F.lit(v.client_barrel))) | (bare == F.concat_ws("/", unit, F.lit(v.server_barrel)))
-    return (surface == "A") | (surface.isin("B", "U") & barrel) | ((surface == "U") & paths.under(bare, F.concat_ws("/", unit, F.lit(dict(v.layers)["ui"]))))
+    return (surface == "any") | (surface.isin("barrel", "barrel-or-ui") & barrel) | ((surface == "barrel-or-ui") & paths.under(bare, F.concat_ws("/", unit, F.lit(dict(v.layers)["ui"]))))
 
 
 def verdicts(edges: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
@@ -63,7 +194,7 @@ def verdicts(edges: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
         .when(F.col("area").isNull(), "unclassified-target")
         .when(F.col("package").isNull() & (F.col("unit") == F.col("source_unit")), "internal")
         .when((F.col("profile") == "domain") & ~F.col("type_only") & ~F.col("area").isin(*PURE), "impure-domain")
-        .when(F.col("surface") == "-", "denied-direction")
+        .when(F.col("surface") == "deny", "denied-direction")
         .when(~F.coalesce(admits(F.col("surface"), F.col("unit"), F.coalesce(target, F.col("package")), v), F.lit(False)), "denied-exposure")
         .otherwise("allowed")
     )

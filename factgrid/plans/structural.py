@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions.paths import LAYERS, Vocabulary
-from ..operators import graph
+from ..operators import graph, trace
 from ..operators.joins import first_per
 from ..sources import tokens, tree
 from . import facts as jsons
@@ -32,8 +33,11 @@ class Limits:
     trace_depth: int = 6
     budget_slack: float = 1.05
     trampoline_layers: tuple[str, ...] = ("controllers", "service")
-    server_packages: tuple[str, ...] = ("drizzle-orm", "postgres", "pg", "stripe", "better-auth")
-    spacing_properties: tuple[str, ...] = ("margin", "padding", "gap", "p", "m", "px", "py", "mx", "my", "mt", "mb", "ml", "mr", "pt", "pb", "pl", "pr")
+    #: Fixed values from here on, in the order of the rules' own configuration.
+    server_packages: tuple[str, ...] = ("drizzle-orm", "pg", "postgres", "better-auth", "stripe")
+    boundary_module: str = "@tanstack/react-start"
+    boundary_calls: tuple[str, ...] = ("createServerFn", "createMiddleware")
+    spacing_properties: tuple[str, ...] = ("gap", "p", "px", "py", "pt", "pr", "pb", "pl", "m", "mx", "my", "mt", "mr", "mb", "ml")
     spacing_keys: tuple[str, ...] = ("padding", "paddingTop", "paddingRight", "paddingBottom", "paddingLeft", "paddingInline", "paddingBlock", "margin", "marginTop", "marginRight", "marginBottom", "marginLeft", "marginInline", "marginBlock", "gap", "rowGap", "columnGap")
     radius_properties: tuple[str, ...] = ("radius",)
     radius_keys: tuple[str, ...] = ("borderRadius", "borderTopLeftRadius", "borderTopRightRadius", "borderBottomLeftRadius", "borderBottomRightRadius")
@@ -219,22 +223,52 @@ def feature_visibility(f: Facts) -> DataFrame:
     return out.unionByName(finding(stale, said("{{i}} has a grant but imports nothing", i="importer"), "warning"))
 
 
+def boundary_modules(f: Facts) -> DataFrame:
+    """(file) of modules that cross the server boundary: they import one of its calls from its module at run time, under any name,
+    and call that name; a name that the module declares again is no such call."""
+    module = re.escape(f.limits.boundary_module)
+    importing = f.resolved.where(~F.col("type_only") & (F.col("specifier") == f.limits.boundary_module)).select("file").distinct()
+    texts = f.live.select("file", "text").join(importing, "file", "left_semi")
+    clauses = F.regexp_extract_all("text", F.lit(f"import\\s[^;'\"]*?\\{{([^}}]*)\\}}\\s*from\\s*[\"']{module}[\"']"), F.lit(1))
+    entry = texts.select("file", F.explode(clauses).alias("c")).select("file", F.explode(F.split("c", ",")).alias("entry"))
+    named = f"^\\s*(?:{'|'.join(f.limits.boundary_calls)})(?:\\s+as\\s+([\\w$]+))?\\s*$"
+    names = entry.where(F.col("entry").rlike(named)).select("file", F.coalesce(F.nullif(F.regexp_extract("entry", named, 1), F.lit("")), F.trim("entry")).alias("name"))
+    code = tokens.code(tokens.tokens(texts)).where("kind = 'name'")
+    called = code.where("n1 = '('").select("file", F.col("token").alias("name")).distinct()
+    again = code.where(F.col("token").isin("const", "let", "var", "function", "class")).select("file", F.col("n1").alias("name")).distinct()
+    return names.join(called, ["file", "name"], "left_semi").join(again, ["file", "name"], "left_anti").select("file").distinct()
+
+
 @check("api/barrel-purity")
 def barrel_purity(f: Facts) -> DataFrame:
-    """Client barrels that reach server code by run-time imports. Modules are met on shortest chains, so a module that a longer
-    chain would use up depth for is judged by its shortest one."""
+    """Client barrels that reach server code by run-time imports, walked depth first with one visited set a barrel.
+
+    Barrels of features aren't walked beyond modules that cross the server boundary, unless the barrel itself is one. A chain that
+    is cut at the depth limit is a finding of its own: what lies below isn't known.
+    """
     v = f.vocabulary
     run = f.resolved.where("not type_only")
-    steps = run.where("target_path is not null").select(F.col("file").alias("a"), F.concat_ws("/", "tree_root", "target_path").alias("b")).distinct()
-    start = f.live.where(paths.segment(F.col("source_path"), 1).isin(v.features, v.domains) & (paths.depth(F.col("source_path")) == 3) & (paths.segment(paths.stem(F.col("source_path")), 3) == v.client_barrel)).select(F.col("file").alias("node"))
-    fns = f.live.where(F.col("text").rlike("createServerFn\\s*\\(")).select(F.col("file").alias("a"))
-    steps = steps.join(fns, "a", "left_anti")
-    met = graph.bounded_reach(steps, start, f.limits.trace_depth + 1)
-    server = run.where(F.col("specifier").startswith("node:") | F.col("package").isin(*f.limits.server_packages)).select(F.col("file").alias("node"), "specifier").distinct()
-    names = f.live.select(F.col("file").alias("start"), "file")
-    dirty = met.where(F.col("depth") <= f.limits.trace_depth).join(server.join(fns.withColumnRenamed("a", "node"), "node", "left_anti"), "node").join(names, "start")
-    deep = met.where(F.col("depth") > f.limits.trace_depth).select("start").distinct().join(names, "start")
-    return finding(dirty, said("reaches {{s}} through {{n}}", s="specifier", n="node")).unionByName(finding(deep, said("imports run deeper than {{d}}", d=F.lit(f.limits.trace_depth))))
+    steps = run.where("target_path is not null").select(F.col("file").alias("a"), F.concat_ws("/", "tree_root", "target_path").alias("b"), F.col("offset").alias("place"))
+    barrels = f.live.where((paths.depth(F.col("source_path")) == 3) & (paths.segment(paths.stem(F.col("source_path")), 3) == v.client_barrel))
+    at = paths.segment(F.col("source_path"), 1)
+    crossing = graph.cut(boundary_modules(f))
+    server = run.where(F.col("specifier").startswith("node:") | F.col("package").isin(*f.limits.server_packages)).select(F.col("file").alias("module"), "specifier").distinct()
+    out = None
+    for folder in (v.features, v.domains):
+        starts = barrels.where(at == folder).select("file")
+        edges, stops = steps, crossing.limit(0)
+        if folder == v.features:  # a barrel that crosses the boundary starts under a name of its own, so that others still stop at it
+            own = steps.join(crossing.join(starts, "file", "left_semi").withColumnRenamed("file", "a"), "a", "left_semi").withColumn("a", F.concat(F.lit("^"), "a"))
+            edges = steps.join(crossing.withColumnRenamed("file", "a"), "a", "left_anti").unionByName(own)
+            stops = crossing
+            starts = starts.join(crossing.select("file", F.lit("^").alias("mark")), "file", "left").select(F.concat(F.coalesce("mark", F.lit("")), "file").alias("file"))
+        met = trace.depth_first(edges, starts.withColumnRenamed("file", "node"), f.limits.trace_depth).join(stops.withColumnRenamed("file", "node"), "node", "left_anti")
+        met = met.withColumns({"file": F.regexp_replace("start", "^\\^", ""), "module": F.regexp_replace("node", "^\\^", ""), "way": F.regexp_replace(F.array_join("chain", " > "), "^\\^", "")})
+        dirty = finding(met.join(server, "module"), said("reaches {{s}} through {{n}}: {{c}}", s="specifier", n="module", c="way"))
+        deep = finding(met.where("truncated"), said("imports run deeper than {{d}}: {{c}}", d=F.lit(f.limits.trace_depth), c="way"))
+        found = dirty.unionByName(deep)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @check("naming/barrel-discoverability")

@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, nesting
 
 BROAD = ("any", "unknown")
 OPEN = ("any", "unknown", "object")
@@ -76,9 +76,8 @@ def no_runtime_typeof(t: Types) -> DataFrame:
 def no_opaque_record(t: Types) -> DataFrame:
     """Outermost sites only."""
     sites = t.sites.where("kind = 'type_reference' and not coalesce(declared_here, false)").join(t.opaque, "type_id", "left_semi")
-    outer = sites.select("file", F.col("node_id").alias("outer_id"), F.col("start").alias("outer_start"), F.col("end").alias("outer_end"))
-    inner = sites.join(outer, "file").where("start >= outer_start and end <= outer_end and node_id <> outer_id").select("file", "node_id")
-    return _found(sites.join(inner, ["file", "node_id"], "left_anti"), "types/no-opaque-record", "a dictionary of anything")
+    outermost = nesting.around(sites, sites.select("file", "node_id", "start", "end"), ["file"]).where("depth = 0").select(sites.columns)
+    return _found(outermost, "types/no-opaque-record", "a dictionary of anything")
 
 
 def no_known_value_widening(t: Types) -> DataFrame:

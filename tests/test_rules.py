@@ -125,3 +125,37 @@ def test_broad_types_nest_to_any_depth(spark):
     children = spark.createDataFrame([(i, i - 1, "array") for i in range(2, depth + 2)] + [(2, depth + 1, "union")], "type_id long, child long, edge string").coalesce(1)
     t = types.Types(spark.createDataFrame([], types.SITE), nodes, children, spark.createDataFrame([], "type_id long, value_type_id long"))
     assert {r.type_id for r in t.broad.collect()} == set(range(1, depth + 2))
+
+
+def _syntax_of(spark, nodes):
+    files = spark.createDataFrame([(VIEW, "x")], "file string, text string")
+    return perfile.Syntax(structural.Facts(tree.source_files(files, [Tree("src")]), files=files), spark.createDataFrame(nodes, perfile.NODE), spark.createDataFrame([], "file string, start int, end int, text string"))
+
+
+def test_destructured_globals(spark):
+    nodes = [
+        n(1, 0, "VariableDeclarator", 0, 30), n(2, 1, "ObjectPattern", 0, 10, role="id", keys="env,pid"), n(3, 1, "Identifier", 12, 20, "process", role="init", path="process"),
+        n(4, 0, "VariableDeclarator", 40, 70), n(5, 4, "ObjectPattern", 40, 50, role="id", keys="env"), n(6, 4, "Identifier", 52, 60, "process", role="init", path="process", shadowed="true"),
+    ]
+    got = perfile.RULES["boundary/ambient-globals"](_syntax_of(spark, nodes)).collect()
+    assert [(r.start, "process.env" in r.message) for r in got] == [(12, True)]
+
+
+def test_prop_counts_are_floors_where_bases_are_unread(spark):
+    def declared(i, start, name, props, bases, kind="TSInterfaceDeclaration", **attrs):
+        out = [n(i, 0, kind, start, start + 100, name, **attrs)]
+        out += [n(i + 1 + k, i, "TSPropertySignature", start + 1 + 2 * k, start + 2 + 2 * k, p, role="prop") for k, p in enumerate(props)]
+        return out + [n(i + 30 + k, i, "TSTypeReference", start + 60 + 2 * k, start + 61 + 2 * k, b, role="heritage") for k, b in enumerate(bases)]
+
+    many = [f"p{k}" for k in range(10)]
+    nodes = [
+        *declared(100, 0, "Whole", many[:6], ["More"], props="true"), *declared(200, 1000, "More", many[4:], []),
+        *declared(300, 2000, "Floor", many, ["Elsewhere", "Empty"], props="true"), *declared(400, 3000, "Empty", [], ["Gone"]),
+        *declared(500, 4000, "Ring", many, ["Back"], props="true"), *declared(600, 5000, "Back", ["q"], ["Ring"]),
+        *declared(700, 6000, "Indexed", many, [], props="true"), n(790, 700, "TSIndexSignature", 6080, 6090),
+    ]
+    got = {r.start: r.message for r in perfile.RULES["react/prop-count"](_syntax_of(spark, nodes)).collect()}
+    assert got == {
+        0: "10 props", 2000: "at least 10 props, as Elsewhere, Empty can't be read in this file", 4000: "at least 11 props, as part of their type has no names",
+        6000: "at least 10 props, as part of their type has no names",
+    }

@@ -228,3 +228,38 @@ def test_bad_vocabularies_are_refused():
             Tree(root)
     with pytest.raises(ValueError):
         structural.Limits(lines_warning=700)
+
+
+def test_templates_are_rendered_once(spark):
+    row = spark.createDataFrame([("{{b}}", "x", None)], "a string, b string, c string")
+    said = row.select(text.rendered("{{a}} {{b}}{{c}} {{d}} {{ a }}", {c: F.col(c) for c in "abc"}).alias("s")).first().s
+    assert said == "{{b}} x {{d}} {{ a }}"
+
+
+BOUNDARY = {
+    "src/features/a/index.ts": 'export * from "./one";\nexport * from "./two";\nexport * from "./three";',
+    "src/features/a/one.ts": 'import { createServerFn as fn } from "@tanstack/react-start";\nimport pg from "pg";\nexport const x = fn();',
+    "src/features/a/two.ts": '// createServerFn( in a comment\nimport stripe from "stripe";',
+    "src/features/a/three.ts": 'import { createMiddleware } from "@tanstack/react-start";\nimport db from "drizzle-orm";\nexport const m = createMiddleware();',
+    "src/features/b/index.ts": 'import { createServerFn } from "./own";\nexport const y = createServerFn();\nexport * from "./four";',
+    "src/features/b/own.ts": "export const createServerFn = () => 1;",
+    "src/features/b/four.ts": 'import fs from "node:fs";',
+    "src/features/c/index.ts": 'export * from "./p0";',
+    **{f"src/features/c/p{i}.ts": f'export * from "./p{i + 1}";' for i in range(8)},
+    "src/features/c/p8.ts": "export const z = 1;",
+    "src/domains/d/index.ts": 'export * from "./five";',
+    "src/domains/d/five.ts": 'import { createServerFn } from "@tanstack/react-start";\nimport auth from "better-auth";\nexport const w = createServerFn();',
+}
+
+
+def test_barrels_stop_at_the_server_boundary(spark):
+    files = spark.createDataFrame(list(BOUNDARY.items()), "file string, text string")
+    facts = structural.Facts(tree.source_files(files, [Tree("src")]), files=files)
+    got = {(r.file, r.message) for r in structural.barrel_purity(facts).collect()}
+    way = " > ".join(["src/features/c/index.ts", *[f"src/features/c/p{i}.ts" for i in range(6)]])
+    assert got == {
+        ("src/features/a/index.ts", "reaches stripe through src/features/a/two.ts: src/features/a/index.ts > src/features/a/two.ts"),
+        ("src/features/b/index.ts", "reaches node:fs through src/features/b/four.ts: src/features/b/index.ts > src/features/b/four.ts"),
+        ("src/features/c/index.ts", f"imports run deeper than 6: {way}"),
+        ("src/domains/d/index.ts", "reaches better-auth through src/domains/d/five.ts: src/domains/d/index.ts > src/domains/d/five.ts"),
+    }
