@@ -1,14 +1,16 @@
 """Structural checks over a small tree: obvious and adversarial cases report, legal ones are silent."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from factgrid.functions import text
 from factgrid.functions.paths import Tree, Vocabulary
 from factgrid.plans import facts as jsons
 from factgrid.plans import runner, structural
 from factgrid.sources import tokens, tree
 
 FILES = {
-    "src/features/a/ui/view.tsx": 'import { x } from "../service/x";\nimport type { T } from "@/features/b";\nimport { go } from "@/features/b/service/y";\n// import "no"\nconst p = <Box padding={8} margin={9} />; boxShadow\nel.shadowRoot\n',
+    "src/features/a/ui/view.tsx": 'import { x } from "../service/x";\nimport type { T } from "@/features/b";\nimport { go } from "@/features/b/service/y";\n// import "no"\nconst p = <Box p={8} padding={8} margin={9} />; boxShadow\nel.shadowRoot\n',
     "src/features/a/service/x.ts": 'import { v } from "../ui/view";\nexport async function pass(a) {\n  return v(a);\n}\nexport function work(a) { const b = 1; return b }\n',
     "src/features/a/repo/r.ts": "x",
     "src/features/a/controllers/c.ts": "x",
@@ -106,7 +108,7 @@ def test_scales_and_manifests_are_read(spark):
 TOKENS = {
     "src/features/a/ui/all.tsx": '/* gap={16}\n padding: 16 */ const a = <B gap={16} />;\nconst b = { padding: 16 };\nconst c = <B radius="6px" p="16" />;\nconst d = { borderRadius: 6 }; // radius={6}\n',
     "src/features/a/ui/style.ts": "export const s = {\n  marginTop: 16,\n};\n",
-    "src/features/a/ui/legal.tsx": 'const a = <B gap={7} radius={0} p="16em" />; const b = { borderRadius: 16, padding: 6 };\n',
+    "src/features/a/ui/legal.tsx": 'const a = <B gap={7} radius={0} p="16em" padding={16} />; const b = { borderRadius: 16, padding: 6 };\n',
     "src/domains/m/a.ts": "const s = { padding: 16 };\n",
     "src/shared/ui/theme.ts": "const s = { padding: 16 };\n",
 }
