@@ -316,14 +316,19 @@ def _name(c: str, top: str) -> str:
     return f"nullif(regexp_extract({c}, '^{top}/([^/]+)', 1), '')"
 
 
-E = f"""WITH raw AS (SELECT *, {_stem('source_path')} AS ss, {_stem('target_path')} AS ts FROM ({_values(IMPORT_ROWS)}) v(tree_root, file, source_path, "offset", line, specifier, relative, target_path, package, type_only)),
+def edges_sql(rows: str, files: str) -> str:
+    """The tables that the rules over imports ask, from two relations: resolved imports, and (tree_root, path) of all files."""
+    return f"""raw AS (SELECT *, {_stem('source_path')} AS ss, {_stem('target_path')} AS ts FROM ({rows}) v(tree_root, file, source_path, "offset", line, specifier, relative, target_path, package, type_only)),
 e AS (SELECT *, {_profile('ss')} AS profile, {_area('ts')} AS area, {_name('ss', 'features')} AS ff, {_name('ts', 'features')} AS tf, {_name('ss', 'domains')} AS fd, {_name('ts', 'domains')} AS td, {_layer('source_path')} AS fl, {_layer('target_path')} AS tl,
   ends_with(ss, '.server') OR coalesce({_profile('ss')} IN ('infrastructure', 'feature-controllers', 'feature-repo', 'feature-service'), false) AS server, regexp_matches(ss, '^(features|domains)/[^/]+/index$') AS client_barrel FROM raw),
 rank(layer, k) AS (VALUES ('ui', 1), ('controllers', 2), ('service', 3), ('repo', 4)),
-files(tree_root, path) AS ({_values(IMPORT_FILES)}),
+files(tree_root, path) AS ({files}),
 verdicts AS (SELECT *, CASE WHEN profile IS NULL THEN 'unclassified-source' WHEN area IS NULL THEN 'unclassified-target' WHEN package IS NULL AND target_unit = source_unit THEN 'internal' WHEN profile = 'domain' AND NOT type_only AND area NOT IN ('domain', 'shared') THEN 'impure-domain' WHEN surface = 'deny' THEN 'denied-direction'
     WHEN surface = 'any' OR ts IN (target_unit, target_unit || '/index', target_unit || '/index.server') OR surface = 'barrel-or-ui' AND starts_with(ts, target_unit || '/ui') THEN 'allowed' WHEN package IS NOT NULL AND surface = 'barrel' THEN 'allowed' ELSE 'denied-exposure' END AS verdict
   FROM (SELECT e.*, {_unit('ss')} AS source_unit, coalesce(package, {_unit('ts')}) AS target_unit, surface FROM e LEFT JOIN ({_values(policy.ROWS)}) p(p_profile, p_area, surface) ON p_profile = profile AND p_area = area))"""
+
+
+E = f"WITH {edges_sql(_values(IMPORT_ROWS), _values(IMPORT_FILES))}"
 _DB = "(ts = 'infrastructure/db' OR starts_with(ts, 'infrastructure/db/'))"
 IMPORT_RULES = {
     "api/barrel-direction": "SELECT file, \"offset\" AS start FROM e WHERE client_barrel AND ends_with(ts, '/index.server')",
@@ -579,5 +584,7 @@ case(
     f"SELECT \"check\", CASE \"check\" WHEN 'x/two' THEN 0 ELSE 1 END AS check_order, count(*) AS n FROM (SELECT * FROM {FOUND_SQL} UNION ALL SELECT * FROM {FOUND_SQL} WHERE \"check\" = 'x/two') GROUP BY ALL",
     lambda spark: runner.merged([_findings(spark).where("check = 'x/two'"), _findings(spark)]).groupBy("check", "check_order").agg(F.count(F.lit(1)).alias("n")),
 )
+from . import site  # noqa: E402, F401  it asks these rules of another tree
+
 RULE_QUERIES = tuple(n for n in QUERIES if n.startswith("rule_"))
 __all__ = ["ORACLE_SQL", "QUERIES", "RULE_QUERIES"]
