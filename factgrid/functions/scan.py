@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,25 +14,26 @@ from pyspark.sql import types as T
 ROWS = 1 << 16
 
 
-def each_text(df: DataFrame, keys: list[str], text: str, function: Callable[[str], Iterable[tuple]], columns: str) -> DataFrame:
-    """The keys of every row with a text, once for each tuple that function(text) gives; columns is their schema as DDL.
+def each_text(df: DataFrame, keys: list[str], text: str, function: Callable[..., Iterable[tuple]], columns: str, also: list[str | Column] | None = None) -> DataFrame:
+    """The keys of every row with a text, once for each tuple that function(text, *also) gives; columns is their schema as DDL.
 
     A null text gives no rows. A text is handled whole, its rows leave in batches. Rows are handled one by one, so repeated ones
     give repeated results. Other columns of df are ignored, whatever their names.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    source = df.where(F.col(text).isNotNull()).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(text).alias("__text"))
+    source = df.where(F.col(text).isNotNull()).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(text).alias("__text"), *[(F.col(c) if isinstance(c, str) else c).alias(f"__a{i}") for i, c in enumerate(also or [])])
     given = df.select(*keys).schema.fields
     schema = T.StructType([*given, *T.StructType.fromDDL(columns).fields])
-    arrow, width = to_arrow_schema(schema), len(keys)
+    arrow, width, extra = to_arrow_schema(schema), len(keys), len(also or [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
             places: list[int] = []
-            for i, value in enumerate(batch.column("__text").to_pylist()):
-                for row in function(value):
+            more = [batch.column(f"__a{i}").to_pylist() for i in range(extra)]
+            for i, values in enumerate(zip(batch.column("__text").to_pylist(), *more, strict=True)):
+                for row in function(*values):
                     found.append(row)
                     places.append(i)
                     if len(found) == ROWS:

@@ -369,5 +369,5 @@ def trampolines(f: Facts) -> DataFrame:
     in_type = F.coalesce((F.col("colon") < F.col("from")) & F.col("after").isin("{", "|", "&", ">", "["), F.lit(False))
     spans = opens.where(~in_type).groupBy("file", "at", "name").agg(F.min(F.struct("from", "to")).alias("body")).select("file", "at", "name", "body.from", "body.to")
     busy = spans.join(c.where((F.col("kind") == "name") & F.col("token").isin(*BRANCHING)).select("file", "start"), "file").where("start > from and start < to").select("file", "at")
-    idle = spans.join(busy, ["file", "at"], "left_anti").join(layers, "file")
-    return finding(idle, said("{{n}} only passes its call on", n="name"), "warning", line=text.line_of(F.col("text"), F.col("at")))
+    idle = spans.join(busy, ["file", "at"], "left_anti").join(c.select("file", F.col("start").alias("at"), "line"), ["file", "at"])
+    return finding(idle, said("{{n}} only passes its call on", n="name"), "warning", line=F.col("line"))

@@ -1,5 +1,5 @@
-"""Tokens, imports and exports of script files, with Spark's own functions: one regular expression cuts a text into tokens,
-windows over each file's tokens find the statements. Slashes of regular expression literals are taken as single characters.
+"""Tokens, imports and exports of script files: a lexer cuts each text into tokens with their places and lines, windows over each
+file's tokens find the statements.
 """
 
 from __future__ import annotations
@@ -7,26 +7,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import line_of
-
-#: Comments, strings, templates, names, numbers, white space, and any other character. Possessive loops don't recurse.
-TOKEN = (
-    r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)"
-    r"|\"[^\"\\\n]*+(?:\\[\s\S][^\"\\\n]*+)*+\"?|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`?"
-    r"|[\p{L}_$][\p{L}\p{N}_$]*+|\p{N}[\p{N}\p{L}_.]*+|\s++|[\s\S]"
-)
+from ..functions import scan
+from . import lexer
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """(file, start, kind, token) of files (file, text): kinds comment, string, template, name, number, space, mark."""
-    each = files.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("place", "token"))
-    w = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    t = F.col("token")
-    kind = (
-        F.when(t.startswith("//") | t.startswith("/*"), "comment").when(t.startswith('"') | t.startswith("'"), "string").when(t.startswith("`"), "template")
-        .when(t.rlike(r"^[\p{L}_$]"), "name").when(t.rlike(r"^\p{N}"), "number").when(t.rlike(r"^\s"), "space").otherwise("mark")
-    )
-    return each.select("file", F.coalesce(F.sum(F.length("token")).over(w), F.lit(0)).cast("int").alias("start"), kind.alias("kind"), "token")
+    """(file, start, line, kind, token) of files (file, text), by the grammar that a file's ending says; for kinds see lexer.lex."""
+    jsx = F.col("file").rlike(f"[.](?:{'|'.join(lexer.JSX_ENDINGS)})$")
+    return scan.each_text(files, ["file"], "text", lexer.lex, "start int, line int, kind string, token string", [jsx])
 
 
 def code(all_tokens: DataFrame) -> DataFrame:
@@ -55,7 +43,7 @@ def scan_imports(files: DataFrame) -> DataFrame:
     c = code(tokens(files))
     w = Window.partitionBy("file").orderBy("start")
     opens = F.col("token").isin("import", "export") & F.coalesce(F.col("p1") != ".", F.lit(True)) & ~F.col("n1").isin("(", ".")
-    statement = F.last(F.when(opens, F.struct("start", "token", "n1", "n2", "k3")), ignorenulls=True).over(w)
+    statement = F.last(F.when(opens, F.struct("start", "line", "token", "n1", "n2", "k3")), ignorenulls=True).over(w)
     c = c.withColumn("statement", statement)
     entry = F.col("p1").isin("{", ",") & (F.col("kind") == "name")
     typed = entry & (F.col("token") == "type") & (F.col("k1") == "name") & (F.col("n1") != "as")
@@ -72,8 +60,8 @@ def scan_imports(files: DataFrame) -> DataFrame:
         .when((token == "require") & free & (n1 == "(") & n3.isin(")", ","), F.struct(_literal("n2", "k2").alias("s"), F.lit(False).alias("t")))
         .when((token == "require") & free & (n1 == ".") & (n2 == "resolve") & (n3 == "("), F.struct(_literal("n4", "k4").alias("s"), F.lit(False).alias("t")))
     )
-    found = c.withColumn("hit", hit).where("hit.s is not null").select("file", F.col("hit.s").alias("specifier"), F.when(F.col("token") == "from", F.col("statement.start")).otherwise(F.col("start")).alias("offset"), F.coalesce("hit.t", F.lit(False)).alias("type_only"))
-    return found.join(files.select("file", "text"), "file").select("file", "specifier", "offset", line_of(F.col("text"), F.col("offset")).alias("line"), "type_only")
+    begun = lambda name: F.when(F.col("token") == "from", F.col(f"statement.{name}")).otherwise(F.col(name))
+    return c.withColumn("hit", hit).where("hit.s is not null").select("file", F.col("hit.s").alias("specifier"), begun("start").alias("offset"), begun("line").alias("line"), F.coalesce("hit.t", F.lit(False)).alias("type_only"))
 
 
 DECLARING = ("const", "let", "var", "function", "class", "type", "interface", "enum", "namespace")
@@ -106,4 +94,5 @@ def scan_exports(files: DataFrame) -> DataFrame:
     names = names.withColumn("own", own).withColumn("names", F.when(own, F.slice("names", F.lit(2), F.size("names"))).otherwise(F.col("names")))
     named = names.join(origin, ["file", "at"], "left").select("file", "at", F.lit("named").alias("kind"), F.element_at("names", -1).alias("exported_name"), F.col("names")[0].alias("local_name"), none.alias("namespace"), "specifier", (F.col("word") | F.col("own")).alias("type_only"))
     found = wildcard.unionByName(default).unionByName(declared).unionByName(named)
-    return found.join(files.select("file", "text"), "file").select("file", F.col("at").alias("offset"), line_of(F.col("text"), F.col("at")).alias("line"), "kind", "exported_name", "local_name", "namespace", "specifier", "type_only")
+    lines = c.where("place = 0").select("file", "at", "line")
+    return found.join(lines, ["file", "at"]).select("file", F.col("at").alias("offset"), "line", "kind", "exported_name", "local_name", "namespace", "specifier", "type_only")
