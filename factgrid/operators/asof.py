@@ -41,12 +41,13 @@ def _split_keys(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame
     return bounds.select(*keys, F.array_distinct(F.filter("__b", lambda _, i: (i + 1) % step == 0)).alias("__bounds")).where(F.size("__bounds") > 0)
 
 
-def asof_join(left: DataFrame, right: DataFrame, at: str, right_at: str, values: list[str], by: list[str] | None = None, tie: list[str] | None = None, strict: bool = False, block_rows: int = 1_000_000) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, at: str, right_at: str, values: list[str], by: list[str] | None = None, tie: list[str] | None = None, strict: bool = False, block_rows: int | None = 1_000_000) -> DataFrame:
     """left with the columns `values` of the last row of right with the same `by` and right_at <= at (strict: < at); null where
     there is none. Of rows of right at one place, the last by `tie` counts.
 
     Places are numbers, dates or times. Rows of left with a null key or place get nulls, those of right are ignored; repeated rows
-    of left stay. Without `by`, all rows are one key. Values' names must not be among left's columns. Either side may be empty.
+    of left stay. Without `by`, all rows are one key. block_rows None says that no
+    key needs to be split (as where a key is one text), and saves a pass that counts. Values' names must not be among left's columns. Either side may be empty.
     """
     by, tie = by or [], tie or []
     keys = [f"__k{i}" for i in range(len(by))] or ["__k0"]
@@ -61,7 +62,7 @@ def asof_join(left: DataFrame, right: DataFrame, at: str, right_at: str, values:
     left_type = asked.schema["__left"].dataType
     have = have.withColumn("__left", F.lit(None).cast(left_type))
     rows = asked.unionByName(have)
-    bounds = _split_keys(rows.select(*keys, "__at"), keys, block_rows)
+    bounds = None if block_rows is None else _split_keys(rows.select(*keys, "__at"), keys, block_rows)
     if bounds is None:
         rows = rows.withColumn("__block", F.lit(0))
     else:

@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scan
+from ..operators import asof
 from ..operators.graph import cut
-from ..functions import text
 from . import perfile, types
 from .structural import CHECKS, FINDING, Facts
 
@@ -50,9 +51,10 @@ class Project:
 
 
 def _lined(rows: DataFrame, p: Project) -> DataFrame:
-    """Findings of places as findings of lines."""
-    files = p.sources.select("file", F.col("text").alias("__text"))
-    return rows.join(files, "file", "left").select("severity", "file", text.line_of(F.col("__text"), F.col("start")).alias("line"), "message")
+    """Findings of places as findings of lines: each place meets the line that starts at it or before."""
+    lines = scan.line_starts(p.sources, ["file"], "text")
+    found = asof.asof_join(rows.select("severity", "file", "start", "message"), lines, "start", "line_start", ["line"], by=["file"], block_rows=None)
+    return found.select("severity", "file", F.col("line").cast("int").alias("line"), "message")
 
 
 def _per_file(name: str) -> Callable[[Project], DataFrame]:

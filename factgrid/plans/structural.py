@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths, text
+from ..functions import collate, paths, text
 from ..functions.paths import LAYERS, Vocabulary
 from ..operators import graph, trace
 from ..operators.joins import first_per
@@ -186,7 +186,8 @@ def _rings(f: Facts, kind: str, folder: str) -> DataFrame:
     ring = graph.cycles(pairs.select(node("from").alias("a"), node("to").alias("b")))
     mark = lambda n: ring.select(F.col("node.tree_root"), F.col("node.name").alias(f"{n}_{kind}"), F.col("component.name").alias(f"{n}_component"))
     trail = pairs.join(mark("from"), ["tree_root", f"from_{kind}"]).join(mark("to"), ["tree_root", f"to_{kind}"]).where("from_component = to_component")
-    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" -> ", f"from_{kind}", f"to_{kind}"))), "; ")
+    step = collate.ordered(F.concat_ws(" -> ", f"from_{kind}", f"to_{kind}"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(step)), collate.plain), "; ")
     rows = trail.groupBy("tree_root", "from_component").agg(lines.alias("trail"))
     rows = rows.withColumn("file", F.concat_ws("/", "tree_root", F.lit(folder), "from_component"))
     return finding(rows, said("these import each other in a ring: {{t}}", t="trail"))

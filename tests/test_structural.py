@@ -265,3 +265,12 @@ def test_barrels_stop_at_the_server_boundary(spark):
         ("src/features/c/index.ts", f"imports run deeper than 6: {way}"),
         ("src/domains/d/index.ts", "reaches better-auth through src/domains/d/five.ts: src/domains/d/index.ts > src/domains/d/five.ts"),
     }
+
+
+def test_trails_are_collated(spark):
+    """Pairs in a message stand as readers sort them: é between e and f, whatever the case."""
+    names = ["Étage", "eta", "Fin"]
+    texts = {f"src/features/{a}/ui/x.ts": f'import y from "@/features/{b}/ui/x";' for a, b in zip(names, names[1:] + names[:1], strict=True)}
+    facts = structural.Facts(tree.source_files(spark.createDataFrame(list(texts.items()), "file string, text string"), [Tree("src")]))
+    (row,) = [r for r in structural.feature_deps(facts).collect() if r.severity == "error"]
+    assert row.message.endswith("eta -> Fin; Étage -> eta; Fin -> Étage")
