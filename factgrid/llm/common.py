@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -137,11 +139,26 @@ def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: C
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with batches of about BATCH_BYTES, if the session still has the larger default."""
+    """mapInArrow with batches of about BATCH_BYTES, if the session still has the larger default. Workers serve one task after
+    another, so what a task has freed goes back to the system at its end."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key) == "67108864b":
         conf.set(key, f"{BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def give_back() -> None:
+    """Returns memory that Arrow and the C library hold but don't use; a C library without malloc_trim keeps its own."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def field(name: str, kind: str, nullable: bool = True) -> T.StructField:

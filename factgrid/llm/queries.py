@@ -84,4 +84,4 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_license_scan, op4_quality_rules, op5_decontamination, op6_token_records, op7_jaccard_join, op8_secret_scan, op9_url_filter, op10_language_id, op11_chat_format, op12_collocations, op13_fill_in_middle)}
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": urls.ORACLE, "op11_chat_format": chat.oracle(), "op12_collocations": phrases.ORACLE, "op13_fill_in_middle": infill.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": jaccard.ORACLE, "op9_url_filter": urls.ORACLE, "op11_chat_format": chat.oracle(), "op12_collocations": phrases.ORACLE, "op13_fill_in_middle": infill.ORACLE}

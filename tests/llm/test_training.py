@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from factgrid.llm import chat, infill, phrases
 from factgrid.llm.queries import ORACLE_SQL, QUERIES
 
-NEW = ["op11_chat_format", "op12_collocations", "op13_fill_in_middle"]
+NEW = ["op7_jaccard_join", "op11_chat_format", "op12_collocations", "op13_fill_in_middle"]
 
 
 @pytest.mark.parametrize("name", NEW)
