@@ -35,8 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder. Files stay there until the folder's owner clears it, or Spark's cleaner does where
-    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    """A checkpoint in the shared folder, which keeps the rows' partitions and their order in them. Files stay there until the
+    folder's owner clears it, or Spark's cleaner does where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     path = shared_folder(df.sparkSession)
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(path)

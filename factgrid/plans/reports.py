@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import collate, scan
 from ..operators import numbering
-from ..operators.graph import shared_folder
+from ..operators.graph import cut, shared_folder
 from .catalogue import QUERIES, VACANT, _table, query
 
 #: Explicit keys of a word's order: its letters without accents and case, then its accents, then its case.
@@ -53,7 +53,7 @@ p AS (SELECT DISTINCT a.lang AS first_lang, b.lang AS second_lang, k1, k2 FROM (
 SELECT first_lang, second_lang, count(*) AS shared FROM p GROUP BY ALL""")
 def shared_words(spark, sf_dir):
     """For each two languages the words that both have, whatever their case: a join on collated keys."""
-    each = _words(spark, sf_dir).select("lang", "w").distinct().select("lang", collate.caseless("w").alias("k")).distinct()
+    each = cut(_words(spark, sf_dir).select("lang", "w").distinct()).select("lang", collate.caseless("w").alias("k")).distinct()
     pairs = each.toDF("first_lang", "k").join(each.toDF("second_lang", "k"), "k").where("first_lang < second_lang")
     return pairs.groupBy("first_lang", "second_lang").agg(F.count(F.lit(1)).alias("shared"))
 
