@@ -142,9 +142,9 @@ def test_destructured_globals(spark):
 
 
 def test_prop_counts_are_floors_where_bases_are_unread(spark):
-    def declared(i, start, name, props, bases, kind="TSInterfaceDeclaration", **attrs):
+    def declared(i, start, name, members, bases, kind="TSInterfaceDeclaration", **attrs):
         out = [n(i, 0, kind, start, start + 100, name, **attrs)]
-        out += [n(i + 1 + k, i, "TSPropertySignature", start + 1 + 2 * k, start + 2 + 2 * k, p, role="prop") for k, p in enumerate(props)]
+        out += [n(i + 1 + k, i, "TSPropertySignature", start + 1 + 2 * k, start + 2 + 2 * k, p, role="prop") for k, p in enumerate(members)]
         return out + [n(i + 30 + k, i, "TSTypeReference", start + 60 + 2 * k, start + 61 + 2 * k, b, role="heritage") for k, b in enumerate(bases)]
 
     many = [f"p{k}" for k in range(10)]
