@@ -61,12 +61,22 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Keys that are sent to all tasks at most, 16 MB of numbers; where there are more, both sides of a join are shuffled.
+MOST_KEYS = 1 << 20
+
+
+def sent_if_few(keys: DataFrame) -> DataFrame:
+    """The keys (a column of short values), to be broadcast if a count finds no more than MOST_KEYS of them."""
+    return F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
+
+
 class Scratch:
     """Tables of one computation in the shared folder, each removed after its last use."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.kept: list[tuple[DataFrame, str]] = []
+        self.names: dict[str, str] = {}
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """df written and read again."""
@@ -76,10 +86,22 @@ class Scratch:
         self.kept.append((out, path))
         return out
 
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """df written in buckets of the key, one for each shuffle partition, and read again: joins on the key don't shuffle it."""
+        path = fresh_path(self.spark, name)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names[path] = path.rsplit("/", 1)[1].replace("-", "_")
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(self.names[path])
+        out = self.spark.table(self.names[path])
+        self.kept.append((out, path))
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Removes these tables; what isn't one of this computation's is left alone."""
         for df, path in self.kept:
             if any(df is t for t in tables):
+                if path in self.names:
+                    self.spark.sql(f"DROP TABLE {self.names.pop(path)}")
                 delete(self.spark, path)
         self.kept = [x for x in self.kept if all(x[0] is not t for t in tables)]
 

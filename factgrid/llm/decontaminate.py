@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_arrow, pieces, ranges, stored
+from .common import map_arrow, pieces, ranges, sent_if_few, stored
 from .pretokens import BASE, INVERSE, LETTER, NUMBER, HashIndex, character_classes, code_points
 
 
@@ -303,4 +303,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 def drop_leaking(docs: DataFrame, leaks: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without the rows whose key has a leak; rows with a null key stay."""
-    return docs.join(leaks.select(key).distinct(), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = stored(leaks.select(key).distinct(), "leaking")
+    return docs.join(sent_if_few(gone), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
