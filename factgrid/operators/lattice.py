@@ -69,8 +69,8 @@ def fixpoint(edges: DataFrame, values: DataFrame, merge: dict[str, str]) -> Data
 def reach_within(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     """(start, node, depth) of what each start reaches in at most so many steps, by one recursive query.
 
-    Every way of at most that length is a row on its way, so it is meant for small bounds and few ways; graph.bounded_reach keeps
-    one row for each node that a start meets, with a job for each step.
+    Every way of at most that length is a row on its way, and more rows than spark.sql.cteRecursionRowLimit are an error, so it is
+    meant for small bounds and few ways; graph.bounded_reach keeps one row for each node that a start meets, with a job for each step.
     """
     spark = edges.sparkSession
     edges.createOrReplaceTempView("__reach_edges")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, identity, lattice, trace
+from ..operators.graph import cut
 from .catalogue import _table, query
 
 HREF, HEADING = 'href="/([^"]*)"', "<h1>([^<]*)"
@@ -80,9 +81,10 @@ WITH RECURSIVE {LINKS}, e AS (SELECT DISTINCT a, b FROM l WHERE b IS NOT NULL),
 r(start, node, depth) AS (SELECT page_id, page_id, 0 FROM pages UNION SELECT r.start, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 3)
 SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY start, node""")
 def link_reach(spark, sf_dir):
-    """What each page reaches within three links, by Spark's recursive query."""
-    edges = links(spark, sf_dir).where("b is not null").select("a", "b").distinct()
-    return lattice.reach_within(edges, _table(spark, sf_dir, "pages").select(F.col("page_id").alias("node")), 3)
+    """What each page reaches within three links, a step at a time; Spark's recursive query keeps a row for each way, and there
+    are more ways than it allows rows."""
+    edges = cut(links(spark, sf_dir).where("b is not null").select("a", "b").distinct())
+    return graph.bounded_reach(edges, _table(spark, sf_dir, "pages").select(F.col("page_id").alias("node")), 3)
 
 
 #: What makes two addresses one, a step at a time: (pattern, replacement) over the whole address.

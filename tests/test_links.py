@@ -200,3 +200,16 @@ def test_identities_match_walks(spark, seed):
     of = lambda x: want.get(x, (x,))[0]
     assert sorted(map(tuple, got.select("source", "target", "n").collect()), key=str) == sorted(((of(a), of(b), n) for a, b, n in links), key=str)
     assert identity.identities(table.limit(0)).collect() == []
+
+
+def test_reach_of_pages_beyond_the_recursion_limit(spark, sf):
+    """A page may lead on in more ways than a recursive query may have rows."""
+    from factgrid.plans import cases
+
+    limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        rows = cases.QUERIES["link_reach"](spark, sf).selectExpr("count(1) n", "count(distinct start, node) pairs", "max(depth) most").first()
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
+    assert rows.n == rows.pairs > 100 and rows.most == 3
