@@ -8,7 +8,6 @@ table in arrays; a merged row is compacted to the left, and rows without a furth
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import heapq
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, binary_array, field, ranges
+from .common import add_columns, binary_array, field, kept, ranges
 from .pretokens import HashIndex, PieceStore, TextEncoder
 
 NO_PAIR = np.int32(np.iinfo(np.int32).max)
@@ -158,13 +157,13 @@ class PairTable:
         return self.token_bytes[ranges(self.token_start[ids], n)], n
 
 
-@functools.lru_cache(maxsize=2)
+@kept(2)
 def _table(data: bytes) -> PairTable:
     ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
     return PairTable(ranks)
 
 
-@functools.lru_cache(maxsize=2)
+@kept(2)
 def _encoder(data: bytes, pattern: str) -> TextEncoder:
     """Kept for all tasks of a worker: what it has met before is known already."""
     return TextEncoder(PieceStore(_table(data).encode_pieces), pattern)

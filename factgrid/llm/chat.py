@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MAX_VOCABULARY_BYTES
-from .common import map_arrow, pieces, plain_text
+from .common import kept, map_arrow, pieces, plain_text
 
 #: Control strings: what opens and closes a turn of the role; the last pair opens and closes one of another role, and SAYS ends its name.
 ROLES = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -133,7 +133,7 @@ class ChatEncoder:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
 
 
-@functools.lru_cache(maxsize=2)
+@kept(2)
 def _encoder(definition: str) -> ChatEncoder:
     return ChatEncoder(definition)
 

@@ -12,7 +12,6 @@ reach the bound by such q-grams alone; any other must share some of its rarer on
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_arrow, pieces, ranges, sent_if_few, stored
-from .pretokens import BASE, INVERSE, LETTER, NUMBER, HashIndex, character_classes, code_points
+from .common import kept, map_arrow, pieces, ranges, sent_if_few, stored
+from .pretokens import LETTER, NUMBER, HashIndex, character_classes, code_points, powers
 
 
 @dataclass(frozen=True)
@@ -62,7 +61,7 @@ class Budget:
         return max(1, length - self.q + 1 - self.q * self.edits(length))
 
 
-@functools.lru_cache(maxsize=1)
+@kept(1)
 def _lower() -> np.ndarray:
     out = np.arange(0x110000, dtype=np.uint32)
     for i in range(0x110000):
@@ -86,19 +85,14 @@ def plain(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, new, at - np.repeat(bounds[:-1], np.diff(new))
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
 def qgram_hashes(cp: np.ndarray, q: int) -> np.ndarray:
     n = len(cp)
     if n < q:
         return np.empty(0, dtype=np.uint64)
+    power, inverse = powers(n)
     with np.errstate(over="ignore"):
-        if len(_POWERS[0]) <= n:
-            for k, base in enumerate((BASE, INVERSE)):
-                _POWERS[k] = np.cumprod(np.append(np.uint64(1), np.full(2 * n, base, dtype=np.uint64)), dtype=np.uint64)
-        sums = np.append(np.uint64(0), np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * _POWERS[0][:n], dtype=np.uint64))
-        h = (sums[q:] - sums[:-q]) * _POWERS[1][: n - q + 1]
+        sums = np.append(np.uint64(0), np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64))
+        h = (sums[q:] - sums[:-q]) * inverse[: n - q + 1]
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
     return np.where(h == np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), h)

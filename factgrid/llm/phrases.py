@@ -12,7 +12,6 @@ task is on integers.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_array, map_arrow, mixed, pieces, ranges, text_bytes
+from .common import Scratch, binary_array, kept, map_arrow, mixed, pieces, ranges, text_bytes
 from .pretokens import PieceStore
 
 #: What ends a piece, and what only parts its words.
@@ -41,7 +40,7 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[ord("A") : ord("Z") + 1] += 32
 
 
-@functools.lru_cache(maxsize=1)
+@kept(1)
 def _hasher() -> PieceStore:
     return PieceStore(lambda *_: None, 1)
 
