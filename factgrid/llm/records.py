@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .bpe import MAX_VOCABULARY_BYTES
-from .common import binary_array, map_arrow, pieces, plain_text, ranges
+from .common import binary_array, kept, map_arrow, pieces, plain_text, ranges
 from .pretokens import PieceStore, TextEncoder
 
 MASK = 0xA282EAD8
@@ -127,7 +127,11 @@ def frames(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, width
     return out, bounds
 
 
-@functools.lru_cache(maxsize=2)
+#: Pieces that go to the library at a time.
+GROUP = 500
+
+
+@kept(2)
 def text_encoder(definition: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to all their ids and the count of each, by a tokenizer of the tokenizers library.
 
@@ -151,9 +155,26 @@ def text_encoder(definition: str) -> Callable[[list[str]], tuple[np.ndarray, np.
     if parts.get("normalizer") or not plain_tokens or split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space"):
         return whole
 
+    # pieces go to the library in groups and aren't split again; as every id stands for as many bytes as its token has
+    # characters, the bytes tell where a group's pieces end
+    split["use_regex"] = False
+    grouped = Tokenizer.from_str(json.dumps(parts))
+    grouped.no_truncation()
+    grouped.no_padding()
+    vocabulary = grouped.get_vocab()
+    width = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+    width[list(vocabulary.values())] = [len(t) for t in vocabulary]
+
     def new(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = flat.tobytes()
-        return whole([data[a : a + n].decode("utf-8", "surrogatepass") for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)])
+        each = [data[a : a + n].decode("utf-8", "surrogatepass") for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        groups = [each[i : i + GROUP] for i in range(0, len(each), GROUP)]
+        ids = np.concatenate([np.empty(0, dtype=np.int32), *[np.array(x.ids, dtype=np.int32) for x in grouped.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)]])
+        ends, until = np.cumsum(lengths), np.cumsum(width[ids])
+        last = np.searchsorted(until, ends)
+        if len(ends) and (last[-1] + 1 != len(ids) or (until[last] != ends).any()):
+            return whole(each)  # a vocabulary without some bytes
+        return ids, np.diff(last + 1, prepend=0)
 
     cached = TextEncoder(PieceStore(new)).encode
     added = [t["content"] for t in parts.get("added_tokens") or ()]

@@ -200,3 +200,14 @@ def test_shards_of_an_empty_table(spark):
     assert sharding.assign_shards(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     with pytest.raises(ValueError):
         sharding.ring(0, 1)
+
+
+def test_new_pieces_go_to_the_library_in_groups(monkeypatch):
+    """One encoding for many pieces, with the ids that whole texts get."""
+    monkeypatch.setattr(records, "GROUP", 7)
+    definition = open(JSON_PATH, encoding="utf-8").read()
+    encode = records.text_encoder.__wrapped__(definition)
+    texts = [t for t in ODD if t] + [" ".join(f"w{i} é{i}漢" for i in range(300))]
+    want = [x.ids for x in Tokenizer.from_str(definition).encode_batch(texts, add_special_tokens=False)]
+    ids, counts = encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
