@@ -25,7 +25,7 @@ def word_places(spark, sf_dir):
     """Every word of every document with its line and its place in the line: words and line starts meet as of their offsets."""
     docs = _table(spark, sf_dir, "documents")
     words = scan.matches(docs, ["doc_id"], "text", r"[^ \t\n]+").select("doc_id", "start", F.col("found").alias("word"))
-    placed = asof.asof_join(words, scan.line_starts(docs, ["doc_id"], "text"), "start", "line_start", ["line", "line_start"], by=["doc_id"])
+    placed = asof.asof_join(words, scan.line_starts(docs, ["doc_id"], "text"), "start", "line_start", ["line", "line_start"], by=["doc_id"], block_rows=None)  # a key is one text, which a task holds whole anyway
     return placed.select("doc_id", "word", "line", (F.col("start") - F.col("line_start") + 1).alias("place"))
 
 

@@ -82,3 +82,12 @@ def test_many_ranges_of_one_key(spark):
     n = intervals.contained(inner, outer, task_rows=20_000).count()
     assert n == sum(1 for o in range(0, 100_000, 1000) for i in range(o, min(o + 501, 100_000)) if i * 10 + 5 <= o * 10 + 5000) + 100_000 - 100
     assert time.monotonic() - began < 40
+
+
+def test_texts_are_searched_once(spark, sf, monkeypatch):
+    """The words of all texts aren't found once more to count them."""
+    from factgrid.plans import cases
+
+    counted = []
+    monkeypatch.setattr(asof, "_split_keys", lambda *a: counted.append(a))
+    assert cases.QUERIES["word_places"](spark, sf).columns == ["doc_id", "word", "line", "place"] and not counted
