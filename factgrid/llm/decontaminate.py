@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import kept, map_arrow, pieces, ranges, sent_if_few, stored
@@ -281,7 +282,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
             shared.destroy()
         return rows
 
-    found = spark.createDataFrame([], schema)
+    # Not an empty list as rows: Spark reads one through Python workers of another kind, which stay beside the others.
+    found = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema).fields])
     block: list[tuple[object, str | None]] = []
     size = 0
     for r in benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("t is not null").toLocalIterator():

@@ -218,6 +218,14 @@ def test_leaks_match_plain_alignment(spark, sf):
     assert decontaminate.find_leaks(docs.limit(0), items).collect() == decontaminate.find_leaks(docs, items.limit(0)).collect() == []
 
 
+def test_leaks_run_no_workers_of_another_kind(spark, sf):
+    docs, items = table(spark, sf, "documents").limit(3), table(spark, sf, "benchmark").limit(3)
+    for some in (items, items.limit(0)):
+        found = decontaminate.find_leaks(docs, some)
+        assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+        assert found.dtypes == [("doc_id", "bigint"), ("item_id", "bigint"), *((c, "int") for c in ("item_start", "start", "end", "edits"))]
+
+
 def test_leak_places(spark, sf):
     item = table(spark, sf, "benchmark").first()
     text = "Some words first. " + item.text.upper() + " And last."
