@@ -6,6 +6,7 @@ tables; it shows the operator, not the rule.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,11 +62,26 @@ EDGES = """SELECT c.c_nationkey AS source, s.s_nationkey AS target, o.o_orderkey
 JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE c.c_nationkey <> s.s_nationkey"""
 
 
+#: Rows of the larger side that one task of a join gets.
+TASK_ROWS = 1 << 18
+
+
+def _joined(large: DataFrame, left: str, small: DataFrame, right: str) -> DataFrame:
+    """Both sides joined in as many tasks as the larger one's rows take, so that a task's memory doesn't follow the table."""
+    tasks = max(1, math.ceil(large.count() / TASK_ROWS))
+    return large.repartition(tasks, left).join(small.repartition(tasks, right), F.col(left) == F.col(right))
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations that buy from others, an order being the file that makes the edge."""
     t = lambda name: _table(spark, sf_dir, name)
-    found = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    found = found.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    bought = _joined(t("orders").select("o_orderkey", "o_custkey"), "o_custkey", t("customer").select("c_custkey", "c_nationkey"), "c_custkey").select("o_orderkey", "c_nationkey")
+    sold = t("lineitem").select("l_orderkey", "l_suppkey")
+    if t("supplier").count() <= TASK_ROWS:
+        sold = sold.join(F.broadcast(t("supplier").select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
+    else:
+        sold = _joined(sold, "l_suppkey", t("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
+    found = _joined(sold.select("l_orderkey", "s_nationkey"), "l_orderkey", bought, "o_orderkey")
     return found.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").alias("source"), F.col("s_nationkey").alias("target"), F.col("o_orderkey").alias("file"))
 
 

@@ -37,3 +37,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("rows", [9, 700, 1 << 18])  # with more suppliers than one task's rows, with fewer, and all in one task
+def test_tasks_of_the_edges_follow_the_rows(spark, sf, con, monkeypatch, rows):
+    monkeypatch.setattr(catalogue, "TASK_ROWS", rows)
+    edges, want = catalogue._edges(spark, sf), con.sql(catalogue.EDGES)
+    assert sorted(map(tuple, edges.select(*want.columns).collect())) == sorted(want.fetchall())
+    assert edges.rdd.getNumPartitions() >= spark.read.parquet(f"{sf}/lineitem.parquet").count() / rows
