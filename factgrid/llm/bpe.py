@@ -8,6 +8,7 @@ table in arrays; a merged row is compacted to the left, and rows without a furth
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, binary_array, field, kept, ranges
-from .pretokens import HashIndex, PieceStore, TextEncoder
+from .common import CHUNK_BYTES, add_columns, binary_array, field, kept, ranges
+from .pretokens import EMPTY, HashIndex, PieceStore, TextEncoder
 
 NO_PAIR = np.int32(np.iinfo(np.int32).max)
 #: Row lengths of the matrices. Longer pieces are merged one by one with a heap, which gives the same ids.
@@ -52,10 +53,15 @@ class PairTable:
         self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         self.token_length = np.array([len(t) for t in tokens], dtype=np.int64)
         self.token_start = np.cumsum(self.token_length) - self.token_length
-        pairs = {(a, b): rank for token, rank in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None}
-        self.pairs = pairs
+        pairs = [(a << 32 | b, rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
         self.index = HashIndex(2 * len(pairs))
-        self.index.add(np.array([(a << 32) | b for a, b in pairs], dtype=np.uint64), np.array(list(pairs.values()), dtype=np.int32))
+        self.index.add(np.array([k for k, _ in pairs], dtype=np.uint64), np.array([r for _, r in pairs], dtype=np.int32))
+
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        """Ranks by left << 32 | right, made for the first piece that is merged with a heap."""
+        used = self.index.keys != EMPTY
+        return dict(zip(self.index.keys[used].tolist(), self.index.values[used].tolist(), strict=True))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NO_PAIR where it doesn't merge; a negative id is no token."""
@@ -105,19 +111,19 @@ class PairTable:
         ids, pairs = list(ids), self.pairs
         n = len(ids)
         before, after, gone = list(range(-1, n - 1)), list(range(1, n + 1)), bytearray(n)
-        heap = [(r, i) for i in range(n - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i]
-            if gone[i] or j >= n or pairs.get((ids[i], ids[j])) != rank:
+            if gone[i] or j >= n or pairs.get(ids[i] << 32 | ids[j]) != rank:
                 continue
             ids[i], gone[j], after[i] = rank, 1, after[j]
             if after[j] < n:
                 before[after[j]] = i
-                if (r := pairs.get((rank, ids[after[j]]))) is not None:
+                if (r := pairs.get(rank << 32 | ids[after[j]])) is not None:
                     heapq.heappush(heap, (r, i))
-            if before[i] >= 0 and (r := pairs.get((ids[before[i]], rank))) is not None:
+            if before[i] >= 0 and (r := pairs.get(ids[before[i]] << 32 | rank)) is not None:
                 heapq.heappush(heap, (r, before[i]))
         return [x for x, out in zip(ids, gone, strict=True) if not out]
 
@@ -195,7 +201,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
 
         return run
 
-    return add_columns(docs, text, fields, make)
+    return add_columns(docs, text, fields, make, most=CHUNK_BYTES // 2)
 
 
 def decode_documents(rows: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

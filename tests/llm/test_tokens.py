@@ -45,6 +45,14 @@ def test_bpe_matches_the_library(docs):
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in back)
 
 
+def test_pairs_for_the_heap_are_made_when_a_long_piece_comes():
+    table = bpe.PairTable(RANKS)
+    encoder = pretokens.TextEncoder(pretokens.PieceStore(table.encode_pieces))
+    for text, made in (("short words only", False), ("abcd" * 700, True)):
+        assert encoder.encode([text])[0].tolist() == OWN.encode_ordinary(text)
+        assert ("pairs" in vars(table)) == made
+
+
 def test_bpe_of_an_empty_table(docs):
     assert bpe.encode_documents(docs.limit(0), RANKS_PATH, public_tokenizers.PATTERN).collect() == []
 
